@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -23,14 +23,17 @@ def plain():
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=" \n\t\r\x0b\x1c  aZ9'é.,!日#s", max_size=40))
-def test_cached_pieces_give_the_tokenizers_ids(s):
-    t = test_cached_pieces_give_the_tokenizers_ids
-    if not hasattr(t, "enc"):
-        t.enc, t.plain = Encoder(PATH, bound=50), Tokenizer.from_file(PATH)
-        t.plain.encode_special_tokens = True
-    assert np.frombuffer(t.enc.ids([s])[0], "<u4").tolist() == t.plain.encode(s, add_special_tokens=False).ids
+ENCODER, LIBRARY = Encoder(PATH), Tokenizer.from_file(PATH)
+LIBRARY.encode_special_tokens = True
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet=" \n\t\r\x0b\x1c\u3000 aZ9'é.,!日#s", max_size=60), st.text(max_size=60)))
+@example("<|endoftext|> a")
+@example(" " * 50000 + "x")
+@example("a" * 50000)
+def test_ids_are_those_of_the_tokenizers_library(s):
+    assert np.frombuffer(ENCODER.ids([s])[0], "<u4").tolist() == LIBRARY.encode(s, add_special_tokens=False).ids
 
 
 def rebuilt(rows, plain, texts):
