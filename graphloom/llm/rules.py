@@ -1,5 +1,7 @@
 """Quality rules: lines are judged first, then the document by what is left. DataFrame functions only."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,15 @@ def repeat_words(ws: Column, width: int) -> Column:
 
     def of_words(w: Column) -> Column:
         hashed = F.transform(w, lambda x: F.xxhash64(x))
-        windows = _let(hashed, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (width - 1)), lambda i: F.xxhash64(F.slice(v, i, width))))
-        return F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(
-            _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))))
-
+        some = lambda v, n, i: F.xxhash64(*[F.get(v, i + k) for k in range(n)])
+        narrow = _let(hashed, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - half), lambda i: some(v, half, i)))
+        wide = lambda q: F.transform(F.sequence(F.lit(0), F.size(q) - 1 - (width - half)), lambda i: F.xxhash64(F.get(q, i), F.get(q, i + (width - half))))
+        alone = lambda h: F.size(F.array_distinct(h)) == F.size(h)
+        # a window found twice has its first half twice as well: most texts end there
+        return F.when(F.size(w) <= width, none).otherwise(
+            _let(narrow, lambda q: F.when(alone(q), none).otherwise(_let(wide(q), lambda h: F.when(alone(h), none).otherwise(covered(h))))))
+
+    half, none = -(-width // 2), F.lit(0).cast("long")
     return _let(ws, of_words)
 
 
@@ -80,35 +87,38 @@ def quality(
     lines = F.split(t, "\n", -1)
     with_words = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     is_kept = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x, max_symbol_share, max_bars, shout_words)
-    ws = words(F.col(text))
-    out = docs.withColumns(
+    counted = _let(words(F.col(text)), lambda w: F.struct(
+        F.size(w).cast("long").alias("words"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w, window).alias("repeat")))
+    # only a text with one of the marks or phrases that the rules look for can lose a line
+    low = F.lower(t)
+    suspect = t.rlike(r"[#*$%&<>{}\\^~|»›•·!]") | reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
+    out = docs.withColumn("q_counted", counted).withColumns(
         {
-            "q_words": F.size(ws).cast("long"),
-            "q_word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
+            "q_words": F.col("q_counted.words"),
+            "q_word_chars": F.col("q_counted.chars"),
             "q_symbols": n_matches(t, SYMBOLS),
             "q_dup_lines": _let(with_words, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long"),
-            "q_repeat_words": repeat_words(ws, window),
-            "q_text": F.array_join(F.filter(lines, is_kept), "\n"),
+            "q_repeat_words": F.col("q_counted.repeat"),
+            "q_text": F.when(suspect, F.array_join(F.filter(lines, is_kept), "\n")).otherwise(t),
         }
     )
-    out = out.withColumn("q_kept_words", F.size(words(F.col("q_text"))).cast("long"))
+    out = out.drop("q_counted")
+    same = F.col("q_text") == t
+    out = out.withColumn("q_kept_words", F.when(same, F.col("q_words")).otherwise(F.size(words(F.col("q_text"))).cast("long")))
     failed = (F.col("q_words") < min_words) | (F.col("q_repeat_words") * 100 > F.col("q_words") * max_repeat_percent)
     lost = (F.col("q_words") - F.col("q_kept_words")) * 100 > F.col("q_words") * max_lost_percent
     return out.withColumn("q_base_failed", failed).withColumn("q_kept", ~F.col("q_base_failed") & ~lost)
 
 
-COLUMNS = ("q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_kept_words", "q_base_failed", "q_kept", "q_text")
-
-
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """The documents kept, with the failing lines taken out of their text; the columns of docs."""
-    judged = quality(docs, **options).where("q_kept")
-    new = {"text": F.col("q_text")} | ({"n_chars": F.length("q_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return judged.withColumns(new).select(*docs.columns)
+def clean(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents kept, with the failing lines taken out of their text; the columns of docs, whatever their names."""
+    judged = quality(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), **options).where("q_kept")
+    new = {text: F.col("q_text")} | ({"n_chars": F.length("q_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return judged.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    q = quality(docs)
+    q = quality(docs.select("doc_id", "text"))
     return q.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"),
                     F.col("q_dup_lines").alias("n_dup_lines"), F.col("q_repeat_words").alias("n_repeat_words"),
                     F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
