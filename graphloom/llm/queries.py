@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import mixing, packing, rules, token_output
+from . import minhash, mixing, packing, rules, suffix, token_output
 from .common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -12,6 +12,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark), width=2)
+
+
 def op3_token_output(spark, sf_dir):
     return token_output.digest(_read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -20,6 +24,10 @@ def op5_packing(spark, sf_dir):
     return packing.digest(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix.digest(_read(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.digest(_read(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -28,5 +36,5 @@ def op9_quality_rules(spark, sf_dir):
     return rules.digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_output, op5_packing, op8_mixing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_token_output, op5_packing, op6_suffix_dedup, op8_mixing, op9_quality_rules)}
 ORACLE_SQL = {"op9_quality_rules": rules.ORACLE_SQL}
