@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, packing, rules
+from graphloom.llm import minhash, mixing, packing, rules, suffix
 from graphloom.llm.common import Scratch
 from graphloom.llm.queries import TOKENIZER
 
@@ -11,6 +11,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.clean(docs)
 
 
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs, Scratch(spark))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(docs, Scratch(spark))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, Scratch(spark))
 
@@ -19,7 +27,13 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources), ("pack_windows", pack_windows)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_dedup", minhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
