@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import minhash, mixing, packing, rules, suffix, token_output
+from . import embedding, html, lm, minhash, mixing, ordinal, packing, rules, suffix, token_output
 from .common import Scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,10 +16,18 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark), width=2)
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_token_output(spark, sf_dir):
     return token_output.digest(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    return embedding.near_vectors(_read(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op5_packing(spark, sf_dir):
     return packing.digest(_read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -28,6 +36,10 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix.digest(_read(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return ordinal.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.digest(_read(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -36,5 +48,9 @@ def op9_quality_rules(spark, sf_dir):
     return rules.digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_token_output, op5_packing, op6_suffix_dedup, op8_mixing, op9_quality_rules)}
-ORACLE_SQL = {"op9_quality_rules": rules.ORACLE_SQL}
+def op10_lm_scoring(spark, sf_dir):
+    return lm.digest(_read(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_html_extraction, op3_token_output, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_quality_classifier, op8_mixing, op9_quality_rules, op10_lm_scoring)}
+ORACLE_SQL = {"op9_quality_rules": rules.ORACLE_SQL, "op10_lm_scoring": lm.ORACLE_SQL}
