@@ -72,7 +72,7 @@ class Update:
 _TOKEN = re.compile(
     r"""
     (?P<ws>[\x20\t\r\n]+|\#[^\r\n]*)
-  | (?P<iri><[^<>"{}|^`\\\x00-\x20]*>)
+  | (?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
   | (?P<var>[?$][A-Za-z0-9_·-￿]+)
   | (?P<str>\"\"\"(?:(?:"|"")?(?:[^"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*'''|"(?:[^"\\\r\n]|\\.)*"|'(?:[^'\\\r\n]|\\.)*')
   | (?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?:--(?:[A-Za-z]+))?)
