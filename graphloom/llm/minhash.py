@@ -141,17 +141,105 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) inside large buckets, as a spanning forest of each pair of blocks; rows: key, m, id, c.
+
+    A bucket is cut into blocks of about `block` members and every two blocks meet in a task of their own, where the
+    sizes of all intersections come from one matrix product over the shingles on both sides. No pair leaves the task
+    but those that join two components.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for key, m, i, c, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                blocks = -(-m // block)
+                own = i * 0x9E3779B1 % 4294967291 % blocks
+                out += [(key, min(own, j), max(own, j), own, i, c, x) for j in range(blocks)]
+                if len(out) >= 512:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
+
+    def _rows(out):
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(col, type=t) for col, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "p", "q", "own", "id", "c", "x"])
+
+    def solve(group):
+        sides = [[r for r in group if r[3] == b] for b in sorted({r[3] for r in group})]
+        left, right = (sides[0], sides[-1])
+        if group[0][1] != group[0][2] and len(sides) < 2:
+            return []
+        if len({r[5] for r in group}) < 2:
+            return []
+        xs, ys = [np.frombuffer(r[6], _U) for r in left], [np.frombuffer(r[6], _U) for r in right]
+        shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+        same = np.zeros((len(xs), len(ys)), np.float32)
+        for at in range(0, len(shared), 8192):
+            part = shared[at : at + 8192]
+            a, b = (_incidence(z, part) for z in (xs, ys))
+            same += a @ b.T
+        na, nb = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+        near = 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+        near &= np.array([r[5] for r in left])[:, None] != np.array([r[5] for r in right])[None, :]
+        root = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = find(left[i][5]), find(right[j][5])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((left[i][4], right[j][4]))
+        return out
+
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if group and r[:3] != group[0][:3]:
+                    if found := solve(group):
+                        yield _pairs(found)
+                    group = []
+                group.append(r)
+        if group and (found := solve(group)):
+            yield _pairs(found)
+
+    def _pairs(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    held = rows.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("key", "m", "id", "c", "shingles")
+    dealt = held.mapInArrow(deal, "key long, p int, q int, own int, id long, c long, x binary")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(run, "a long, b long")
+
+
+def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(shingles)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shingles, s)
+        at[at == len(shingles)] = 0
+        out[i, at[shingles[at] == s]] = 1
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80,
-    bands: int = 40, rows: int = 5,
+    bands: int = 40, rows: int = 5, small: int = 32, block: int = 192,
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of docs.
 
     Documents whose shingle sets have 100 * intersection >= percent * union are linked. Equal sets are one class from
     the start. Classes that share a band key are candidates: first each with its bucket's least member (linear), then,
-    only in buckets that still span several components, members of different components with fitting set sizes. A pair
-    inside one component is never needed, so groups of copies don't turn into all pairs, and no bucket is capped. At
-    similarity 0.8 the defaults miss a pair with probability 1.3e-7. All links are confirmed on the full sets.
+    only in buckets that still span several components, members of different components: as pairs in buckets of at
+    most `small` members, in blocks that meet inside a task in larger ones. A pair inside one component is never
+    needed, so groups of copies don't turn into all pairs, and no bucket is capped. At similarity 0.8 the defaults miss
+    a pair with probability 1.3e-7. All links are confirmed on the full sets.
 
     A null or empty text has no set: 0 shingles, linked with nothing. A null key is linked with nothing and kept.
     Repeated rows get equal results; extra columns are ignored; an empty table gives no row.
@@ -179,17 +267,16 @@ def near_duplicates(
     links = scratch.write(_linked(tested, sets, percent))
     parts = scratch.write(connected_components(links, scratch))
     scratch.free_shuffles()
-    grouped = members.where("m > 2").join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    grouped = members.where("m > 2").join(parts, "id", "left").select("key", "m", "id", "n", F.coalesce("component", "id").alias("c"))
     spans = grouped.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
     open_ = scratch.write(grouped.join(spans, "key"))
-    left, right = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    few = open_.where(F.col("m") <= small)
+    left, right = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     fits = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    across = left.join(right, "key").where(fits).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    across = scratch.write(across)
-    if not across.isEmpty():
-        more = scratch.write(_linked(across, sets, percent))
-        links = links.union(more)
-        parts = scratch.write(connected_components(links, scratch))
+    across = scratch.write(left.join(right, "key").where(fits).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    more = scratch.write(_linked(across, sets, percent).union(_block_links(open_.where(F.col("m") > small), sets, percent, block)))
+    if not more.isEmpty():
+        parts = scratch.write(connected_components(links.union(more), scratch))
     scratch.drop(members, sets, tested, across, open_)
     scratch.free_shuffles()
 

@@ -57,8 +57,9 @@ def test_components_match_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, n long").repartition(3)
     for width in (2, 5):
-        got = minhash.near_duplicates(docs, Scratch(spark), width=width)
-        assert sorted(tuple(r) for r in got.collect()) == brute(rows, width)
+        for small, block in ((32, 192), (2, 7)):  # with small blocks, most buckets are split
+            got = minhash.near_duplicates(docs, Scratch(spark), width=width, small=small, block=block)
+            assert sorted(tuple(r) for r in got.collect()) == brute(rows, width)
 
 
 def test_repeated_rows_null_keys_and_empty_tables(spark):
