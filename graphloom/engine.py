@@ -50,6 +50,8 @@ def instantiate(rel: Rel, template: list[tuple]) -> DataFrame:
     def cell(n) -> Column:
         if isinstance(n, Term):
             return R.make(0, F.concat(F.lit("c"), F.col("solution"), F.lit("x" + n.v.lstrip(".")))) if n.k == 0 else R.const(n)
+        if n[0] == "fixed":
+            return R.const(n[1])
         if n[0] == "tt":
             p = cell(n[2])
             return R.triple_column(cell(n[1]), F.when(p["k"] == 1, p["v"]), cell(n[3]))
