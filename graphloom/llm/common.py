@@ -29,10 +29,17 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+        """batch_rows: at most so many rows at once between Spark and Python, for plans with large rows."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        path, name = f"{self.root}/{self.n}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        try:
+            if batch_rows:
+                self.spark.conf.set(name, batch_rows)
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

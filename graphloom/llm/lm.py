@@ -147,7 +147,7 @@ def backoff_scores(
     Null and empty texts have 0 words, log_score 0 and a null mean. Repeated rows count as often as they come; extra
     columns are ignored; an empty table gives no row.
     """
-    chunks = scratch.write(_chunks(docs, text, key, chunk_words))
+    chunks = scratch.write(_chunks(docs, text, key, chunk_words), batch_rows=1000)
     total = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, int(total // bucket_words) + 1)
 
@@ -195,7 +195,7 @@ def backoff_scores(
     for levels in [range(0, min(2, order)), *(range(k, k + 1) for k in range(2, order))]:
         source = chunks if answers is None else with_answers()
         got = source.mapInArrow(asking(levels), requests).groupBy("level", "bucket").applyInArrow(summed, "chunk long, level int, bucket int, counts binary")
-        got = scratch.write(got)
+        got = scratch.write(got, batch_rows=1)
         answers = got if answers is None else answers.union(got)
         scratch.free_shuffles()
 
@@ -208,7 +208,8 @@ def backoff_scores(
                 mean = [x / n if n else None for x, n in zip(s.tolist(), c.lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.ids, pa.int64()), pa.array(c.lengths), pa.array(s), pa.array(mean, pa.float64())], names=["id", "n", "s", "m"])
 
-    return with_answers().mapInArrow(scored, "id long, n long, s double, m double").toDF(key, "n_words", "log_score", "mean_log_score")
+    out = scratch.write(with_answers().mapInArrow(scored, "id long, n long, s double, m double"), batch_rows=1)
+    return out.toDF(key, "n_words", "log_score", "mean_log_score")
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
