@@ -181,15 +181,26 @@ class Compiler:
         seed = rel.only(use)
         seed = replace(seed, df=seed.df.distinct()) if use else None
 
-        def inside(p: tuple) -> Rel:
-            if p[0] == "filter":
-                return self.filter(inside(p[2]), p[1])
-            if p[0] == "group":
-                return inside(p[1])
-            got = self.compile(p)
-            return self.join(seed, got) if seed is not None else got
+        return (self.compile_seeded(p, seed) if seed is not None else self.compile(p)), use
 
-        return inside(p), use
+    def compile_seeded(self, p: tuple, seed: Rel) -> Rel:
+        """A pattern evaluated for given solutions: they join where evaluation starts, so what follows sees them."""
+        kind = p[0]
+        if kind == "filter":
+            return self.filter(self.compile_seeded(p[2], seed), p[1])
+        if kind == "group":
+            return self.compile_seeded(p[1], seed)
+        if kind == "bind":
+            return self.extend(self.compile_seeded(p[1], seed), p[2], p[3])
+        if kind == "join":
+            return self.join(self.compile_seeded(p[1], seed), self.compile(p[2]))
+        if kind == "optional":
+            return self.optional(self.compile_seeded(p[1], seed), p[2])
+        if kind == "minus":
+            return self.minus(self.compile_seeded(p[1], seed), p[2])
+        if kind == "union":
+            return self.union(self.compile_seeded(p[1], seed), self.compile_seeded(p[2], seed))
+        return self.join(seed, self.compile(p))
 
     def _semi(self, rel: Rel, p: tuple, negated: bool) -> Rel:
         bound = pattern_vars(p)
@@ -299,7 +310,9 @@ class Compiler:
         return (out.withColumns(merged) if merged else out).drop(*["r" + column_name(v) for v in shared])
 
     def _optional(self, a, b) -> Rel:
-        left = self.compile(a)
+        return self.optional(self.compile(a), b)
+
+    def optional(self, left: Rel, b: tuple) -> Rel:
         filters = []
         while b[0] in ("filter", "group") and (b[0] == "group" or not _has_exists(b[1])):
             if b[0] == "filter":
@@ -326,7 +339,10 @@ class Compiler:
         return Rel(df, left.vars | right.vars, left.definite)
 
     def _minus(self, a, b) -> Rel:
-        left, right = self.compile(a), self.compile(b)
+        return self.minus(self.compile(a), b)
+
+    def minus(self, left: Rel, b: tuple) -> Rel:
+        right = self.compile(b)
         shared = [v for v in left.vars if v in right.vars]
         if not shared:
             return left
@@ -529,8 +545,9 @@ class Compiler:
         return None
 
     # queries
-    def solve(self, q: Query) -> Rel:
-        rel = self.compile(q.where)
+    def solve(self, q: Query, rel: Rel | None = None) -> Rel:
+        """The solutions of a SELECT; rel: those of its pattern, if they are there already."""
+        rel = rel or self.compile(q.where)
         if q.values:
             rel = self.join(rel, self._values(*q.values[1:]))
         items, order, having = q.items, q.order, q.having
