@@ -23,7 +23,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles; words are hashed once while they stay in a bounded cache."""
 
-    def __init__(self, width: int, bound: int = 400_000):
+    def __init__(self, width: int, bound: int = 150_000):
         self.width, self.bound, self.known = width, bound, {}
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
@@ -244,7 +244,7 @@ def near_duplicates(
     A null or empty text has no set: 0 shingles, linked with nothing. A null key is linked with nothing and kept.
     Repeated rows get equal results; extra columns are ignored; an empty table gives no row.
     """
-    sig = scratch.write(_signatures(docs, text, key, width, bands, rows))
+    sig = scratch.write(_signatures(docs, text, key, width, bands, rows), batch_rows=1000)
     some = sig.where("sig is not null and id is not null")
     classes = scratch.write(some.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
@@ -260,11 +260,11 @@ def near_duplicates(
     scratch.free_shuffles()
     ids = members.select("id").distinct()
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sets = scratch.write(_sets(named.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]))
+    sets = scratch.write(_sets(named.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]), batch_rows=1000)
     scratch.free_shuffles()
 
     tested = scratch.write(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = scratch.write(_linked(tested, sets, percent))
+    links = scratch.write(_linked(tested, sets, percent), batch_rows=1000)
     parts = scratch.write(connected_components(links, scratch))
     scratch.free_shuffles()
     grouped = members.where("m > 2").join(parts, "id", "left").select("key", "m", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -274,7 +274,7 @@ def near_duplicates(
     left, right = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     fits = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
     across = scratch.write(left.join(right, "key").where(fits).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    more = scratch.write(_linked(across, sets, percent).union(_block_links(open_.where(F.col("m") > small), sets, percent, block)))
+    more = scratch.write(_linked(across, sets, percent).union(_block_links(open_.where(F.col("m") > small), sets, percent, block)), batch_rows=1000)
     if not more.isEmpty():
         parts = scratch.write(connected_components(links.union(more), scratch))
     scratch.drop(members, sets, tested, across, open_)

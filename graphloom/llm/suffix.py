@@ -204,7 +204,7 @@ def _contexts(wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the contexts listed for each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, rows=128, size=1 << 21):
             for row in batch.to_pylist():
                 out = [(w["h"], w["k"], row["id"], row["th"], w["first"], row["b"][w["first"] : w["first"] + w["n"] + length - 1]) for w in row["wanted"]]
                 for at in range(0, len(out), 4096):
@@ -277,7 +277,7 @@ def _large_shards(contexts: DataFrame, length: int, scratch: Scratch) -> DataFra
 
 def repeated_spans(named: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
     """Marks (id, th, start, stop): byte ranges, with overlaps, whose every window repeats. named: id, th, b (binary)."""
-    occ = scratch.write(_occurrences(named, length, gram))
+    occ = scratch.write(_occurrences(named, length, gram), batch_rows=1000)
     kinds = occ.groupBy("h", "ch").agg(F.count("*").alias("k"), F.max("twice").alias("twice"), F.min(F.struct("id", "th", "first", "n")).alias("at"))
     kinds = scratch.write(kinds)
     scratch.free_shuffles()
@@ -293,7 +293,7 @@ def repeated_spans(named: DataFrame, scratch: Scratch, length: int, gram: int) -
     wanted = need.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("h", "k", "first", "n")).alias("wanted"))
     # rows that repeat a key and a text would give the same contexts twice
     held = named.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("id", "th", "b", "wanted")
-    contexts = scratch.write(_contexts(held, length).dropDuplicates(["h", "id", "th", "first"]))
+    contexts = scratch.write(_contexts(held, length).dropDuplicates(["h", "id", "th", "first"]), batch_rows=1000)
     scratch.free_shuffles()
     large = need.where(F.col("bytes") > BLOCK // 2).select("h").distinct()
     some_large = not large.isEmpty()
@@ -342,7 +342,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, text: str = "text", key: s
     named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"), F.encode(t, "UTF-8").alias("b"))
 
     def run(batches):
-        for batch in slices(batches, rows=1024, size=1 << 22):
+        for batch in slices(batches, rows=256, size=1 << 21):
             out = [(r["id"], len(r["b"]), removed, len(spans), hashlib.sha256(b"".join(parts)).hexdigest()) for r, parts, removed, spans in _kept(batch.to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -356,7 +356,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     marks = _marked(docs, scratch, text, key, length, gram)
 
     def cut(batches):
-        for batch in slices(batches, rows=1024, size=1 << 22):
+        for batch in slices(batches, rows=256, size=1 << 21):
             out = []
             for _, parts, _, _ in _kept({"b": (r["t"] or "").encode(), "marks": r["marks"]} for r in batch.to_pylist()):
                 out.append("".join(p.decode("utf-8", "ignore") for p in parts))
