@@ -41,11 +41,13 @@ def native(v: Val) -> Column:
     return text_of(v) if v.kind == "term" else lexical(v)
 
 
-def instantiate(rel: Rel, template: list[tuple]) -> DataFrame:
-    """Quads of a template for each solution; ill-formed ones are left out, blank nodes are new in each solution."""
+def instantiate(rel: Rel, template: list[tuple], stable: bool = False) -> DataFrame:
+    """Quads of a template for each solution; ill-formed ones are left out, blank nodes are new in each solution.
+    stable: named by the solution, so that the same solution gives the same nodes again."""
     df, fresh = rel.df, any(isinstance(n, Term) and n.k == 0 for t in template for n in _flat(t[1:]))
     if fresh:
-        df = df.withColumn("solution", F.replace(F.expr("uuid()"), F.lit("-")))
+        name = F.md5(F.to_json(F.struct(*[as_term(rel.val(v)).alias(f"c{i}") for i, v in enumerate(sorted(rel.vars))], F.lit(0).alias("c")))) if stable else F.replace(F.expr("uuid()"), F.lit("-"))
+        df = df.withColumn("solution", name)
 
     def cell(n) -> Column:
         if isinstance(n, Term):
