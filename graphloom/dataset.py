@@ -36,14 +36,14 @@ class Dataset:
         return cls(spark, quads_frame(spark, quads), **more)
 
     def with_quads(self, quads: DataFrame | None, graphs: Iterable[str] | None = None) -> "Dataset":
-        out = Dataset(self.spark, quads, self.tables, self.namespaces, self.graphs if graphs is None else graphs, self.loader)
-        return out
+        return Dataset(self.spark, quads, self.tables, self.namespaces, self.graphs if graphs is None else graphs, self.loader)
 
     def restricted(self, default: list[str], named: list[str]) -> "Dataset":
         """The dataset that FROM and FROM NAMED describe."""
-        out = self.with_quads(self.quads)
-        if default or named:
-            out.from_, out.from_named = default, named
+        if not default and not named:
+            return self
+        out = Dataset(self.spark, self.quads, self.tables, self.namespaces, self.graphs, self.loader)
+        out.from_, out.from_named = default, named
         return out
 
     # scans
