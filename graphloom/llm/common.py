@@ -2,6 +2,7 @@
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Let the context cleaner delete shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round lets go of the plans, the second finds their shuffles unreferenced
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -18,6 +18,16 @@ from .minhash import Shingler, _mixed
 _U = np.uint64
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The array byte place by byte place: sorted hashes and small numbers then compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _of_planes(b, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def _chunks(docs: DataFrame, text: str, key: str, chunk_words: int) -> DataFrame:
     """(chunk, ids, lengths, grams, words): a row a chunk; words index the sorted distinct word hashes in grams."""
 
@@ -32,7 +42,7 @@ def _chunks(docs: DataFrame, text: str, key: str, chunk_words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
-                    pa.array([grams.tobytes()], pa.binary()), pa.array([at.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([_planes(grams)], pa.binary()), pa.array([_planes(at.astype("<u4"))], pa.binary()),
                 ],
                 names=["chunk", "ids", "lengths", "grams", "words"],
             )
@@ -60,8 +70,8 @@ class Chunk:
 
     def __init__(self, row: dict, order: int):
         self.ids, self.lengths = row["ids"], np.asarray(row["lengths"], dtype=np.int64)
-        self.hashes = [np.frombuffer(row["grams"], _U)]
-        self.tokens = [np.frombuffer(row["words"], "<u4").astype(np.int64)]  # per level: index of the n-gram that ends at a token
+        self.hashes = [_of_planes(row["grams"], "<u8")]
+        self.tokens = [_of_planes(row["words"], "<u4").astype(np.int64)]  # per level: index of the n-gram that ends at a token
         ends = np.cumsum(self.lengths)
         self.nth = np.arange(int(ends[-1])) - np.repeat(ends - self.lengths, self.lengths)  # place in the document
         self.counts: list[np.ndarray] = []
@@ -70,7 +80,7 @@ class Chunk:
 
     def answered(self, answers: list[dict], level: int, buckets: int, least: int) -> None:
         """Take the counts of a level and find the n-grams of the next one."""
-        by = {a["bucket"]: np.frombuffer(a["counts"], "<u4") for a in answers}
+        by = {a["bucket"]: _of_planes(a["counts"], "<u4") for a in answers}
         where = bucket_of(self.hashes[level], buckets)
         counts = np.zeros(len(where), np.int64)
         for b, c in by.items():
@@ -107,7 +117,7 @@ class Chunk:
         for b in range(buckets):
             if cut[b] < cut[b + 1]:
                 s = order[cut[b] : cut[b + 1]]
-                yield b, grams[s].tobytes(), here[s].tobytes()
+                yield b, _planes(grams[s]), _planes(here[s])
 
     def scores(self, total: int, least: int, penalty: float) -> np.ndarray:
         """Sum over each document's words of the log of the stupid-backoff score."""
@@ -153,12 +163,12 @@ def backoff_scores(
 
     def summed(group: pa.Table) -> pa.Table:
         """A bucket: sum each n-gram over the chunks and give every chunk its counts back in its own order."""
-        parts = [np.frombuffer(x.as_buffer(), _U) for x in group.column("grams")]
-        here = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column("counts")])
+        parts = [_of_planes(x.as_buffer(), "<u8") for x in group.column("grams")]
+        here = np.concatenate([_of_planes(x.as_buffer(), "<u4") for x in group.column("counts")])
         grams, at = np.unique(np.concatenate(parts), return_inverse=True)
         sums = np.bincount(at, weights=here, minlength=len(grams)).astype("<u4")[at]
         cuts = np.cumsum([0, *(len(p) for p in parts)])
-        blobs = [sums[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [_planes(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"chunk": group.column("chunk"), "level": group.column("level"), "bucket": group.column("bucket"), "counts": pa.array(blobs, pa.binary())})
 
     def rebuilt(row: dict, level: int) -> Chunk:
