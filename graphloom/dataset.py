@@ -294,3 +294,41 @@ def list_quads(items: list[Term], g: str = "") -> tuple[Term, list[tuple]]:
     for i, (c, x) in enumerate(zip(cells, items, strict=True)):
         out += [(c, R.FIRST, x, g), (c, R.REST, cells[i + 1] if i + 1 < len(cells) else Term(1, R.NIL), g)]
     return cells[0], out
+
+
+def isomorphic(a: Iterable[tuple], b: Iterable[tuple]) -> bool:
+    """Whether two small graphs (tuples of Terms and predicate text) differ only in blank node labels: labels are refined
+    by their neighbourhoods, ties are tried out."""
+    a, b = sorted(set(a), key=repr), sorted(set(b), key=repr)
+    if len(a) != len(b):
+        return False
+
+    def refined(quads, colour):
+        for _ in range(len(colour) + 1):
+            new = {}
+            for n in colour:
+                show = lambda t, n=n: ("*" if t == n else colour[t]) if isinstance(t, Term) and t in colour else t.n3 if isinstance(t, Term) else t
+                new[n] = hash(tuple(sorted(repr([show(x) for x in q]) for q in quads if n in q)))
+            if len(set(new.values())) == len(set(colour.values())):
+                return new
+            colour = new
+        return colour
+
+    def nodes(quads):
+        return {t: 0 for q in quads for t in q if isinstance(t, Term) and t.k == 0}
+
+    def fits(ca, cb, depth):
+        ca, cb = refined(a, ca), refined(b, cb)
+        if sorted(ca.values()) != sorted(cb.values()):
+            return False
+        if len(set(ca.values())) == len(ca):
+            other = {c: n for n, c in cb.items()}
+            swap = lambda t: other[ca[t]] if isinstance(t, Term) and t in ca else t
+            return {tuple(swap(x) for x in q) for q in a} == set(b)
+        counts = {}
+        for c in ca.values():
+            counts[c] = counts.get(c, 0) + 1
+        n = min((x for x in ca if counts[ca[x]] > 1), key=repr)
+        return any(fits(ca | {n: ("fixed", depth)}, cb | {m: ("fixed", depth)}, depth + 1) for m in cb if cb[m] == ca[n])
+
+    return fits(nodes(a), nodes(b), 0)

@@ -12,6 +12,13 @@ from ..terms import Term
 from .values import NUMBERS, Val, arithmetic, as_term, boolean, constant, decimal_text, double_text, equal, instant, is_kind, less, lexical, null_val, number, numeric_term, string_of, text_of
 
 FUNCTIONS: dict[str, Callable] = {}
+#: Functions by IRI: f(scope, *values) gives a Val; see register().
+CUSTOM: dict[str, Callable] = {}
+
+
+def register(iri: str, f: Callable) -> None:
+    """Let queries call <iri>(...); f(scope, *values) builds a column, so it stays in the plan."""
+    CUSTOM[iri] = f
 
 
 class Scope:
@@ -62,6 +69,8 @@ def evaluate(e: tuple, scope: Scope) -> Val:
         return Val("bool", ~out if e[3] else out)
     if kind == "exists":
         return Val("bool", scope.exists(e))
+    if kind == "cast" and e[1] in CUSTOM:
+        return CUSTOM[e[1]](scope, *[evaluate(x, scope) for x in e[2]])
     if kind == "cast":
         return _cast(e[1], [evaluate(x, scope) for x in e[2]])
     if kind == "agg":

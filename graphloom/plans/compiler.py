@@ -102,7 +102,15 @@ class Compiler:
         return self.compile(p)
 
     def _join(self, a, b) -> Rel:
-        return self.join(self.compile(a), self.compile(b))
+        left = self.compile(a)
+        if b[0] == "path" and b[2][0] in ("plus", "star") and not isinstance(self.graph, tuple):
+            s, p, o = b[1:]
+            if not isinstance(s, Term) and not isinstance(o, Term):
+                # the walk starts from what the rest of the pattern leaves
+                for end in (s, o):
+                    if end[1] in left.definite:
+                        return self.join(left, self._closure(p[0], s, p[1], o, (left, end[1], end is o and s != o)))
+        return self.join(left, self.compile(b))
 
     def _select(self, q: Query) -> Rel:
         return self.solve(q)
@@ -497,26 +505,33 @@ class Compiler:
             out = rel if out is None else self.union(out, rel)
         return out
 
-    def _closure(self, kind, s, p, o) -> Rel:
-        """p+, p* and p?: distinct pairs; a constant end seeds the walk."""
+    def _closure(self, kind, s, p, o, given: tuple[Rel, str, bool] | None = None) -> Rel:
+        """p+, p* and p?: distinct pairs; a constant end, or the values given for one, seed the walk."""
         x, y = self.hidden(), self.hidden()
         edges = self.compile_path(("var", x), p, ("var", y))
         if edges.vars[x] != edges.vars[y]:
             rep = IRI_REP if edges.vars[x].kind == edges.vars[y].kind == "iri" else TERM_REP
             edges = edges.lifted(x, rep).lifted(y, rep)
         rep = edges.vars[x]
+        if given and given[0].vars[given[1]] != rep:
+            rep = IRI_REP if given[0].vars[given[1]].kind == rep.kind == "iri" else TERM_REP
+            edges = edges.lifted(x, rep).lifted(y, rep)
         g = [self.graph[1]] if isinstance(self.graph, tuple) else []
         pairs = edges.df.select(*[col(v).alias("g") for v in g], col(x).alias("s"), col(y).alias("o")).distinct()
-        flip = isinstance(o, Term) and not isinstance(s, Term)
+        flip = isinstance(o, Term) and not isinstance(s, Term) or bool(given and given[2])
         if flip:
             pairs, s, o = pairs.select(*["g"] * len(g), F.col("o").alias("s"), F.col("s").alias("o")), o, s
         if kind != "opt":
             seeds = pairs.where(_is_term(rep, F.col("s"), s)).select("s").distinct() if isinstance(s, Term) else None
+            if given:
+                seeds = written(given[0].lifted(given[1], rep).df.select(col(given[1]).alias("s")).distinct())
             pairs = closure(pairs, seeds)
         elif isinstance(s, Term):
             pairs = pairs.where(_is_term(rep, F.col("s"), s))
         if kind != "plus":
-            if isinstance(s, Term):
+            if given:
+                same = seeds.select("s", F.col("s").alias("o"))
+            elif isinstance(s, Term):
                 me = self._as_rep(s, rep)
                 if me is None:
                     pairs, rep = pairs.withColumn("s", as_term_rep(rep, F.col("s"))).withColumn("o", as_term_rep(rep, F.col("o"))), TERM_REP

@@ -74,6 +74,11 @@ CASES = [
     ("SELECT ?x { ex:alice ex:knows* ?x }", [("alice",), ("bob",), ("charlie",)]),
     ("SELECT ?x { ?x ex:knows* ex:charlie }", [("alice",), ("bob",), ("charlie",)]),
     ("SELECT ?x { ex:nowhere ex:knows* ?x }", [("nowhere",)]),
+    ("SELECT ?n ?x { ?p ex:age 30 ; ex:name ?n . ?p ex:knows* ?x }", [("Alice", "alice"), ("Alice", "bob"), ("Alice", "charlie")]),
+    ("SELECT ?n ?x { ?p ex:age 35 ; ex:name ?n . ?x ex:knows+ ?p }", [("Charlie", "alice"), ("Charlie", "bob")]),
+    ("SELECT ?x ?y { ?x ex:next ?x . ?x ex:next+ ?y }", [("self", "self")]),
+    ("SELECT ?x { ?x ex:next ?z . ?x ex:next+ ?x }", [("loop",), ("loop2",), ("self",)]),
+    ("SELECT ?a ?v { ?a ex:age ?v . ?v ex:knows* ?w } ", [("alice", 30), ("bob", 25), ("charlie", 35)]),
     ("SELECT ?x ?y { ?x ex:next+ ?y }", [("loop", "loop"), ("loop", "loop2"), ("loop2", "loop"), ("loop2", "loop2"), ("self", "self")]),
     ("SELECT ?x { ex:alice ex:knows/ex:knows ?x }", [("charlie",)]),
     ("SELECT ?x { ex:bob ^ex:knows ?x }", [("alice",)]),
