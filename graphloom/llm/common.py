@@ -28,6 +28,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(rows) == "10000":  # Spark's default makes batches of tens of megabytes from texts
+            spark.conf.set(rows, "1000")
         self.n = 0
 
     def write(self, df: DataFrame, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .minhash import Shingler, _mixed
+from .worker import tidy
 
 _U = np.uint64
 
@@ -62,7 +63,7 @@ def _chunks(docs: DataFrame, text: str, key: str, chunk_words: int) -> DataFrame
             yield from flush()
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return named.mapInArrow(run, "chunk long, ids array<long>, lengths array<long>, grams binary, words binary")
+    return named.mapInArrow(tidy(run), "chunk long, ids array<long>, lengths array<long>, grams binary, words binary")
 
 
 class Chunk:
@@ -204,7 +205,7 @@ def backoff_scores(
 
     for levels in [range(0, min(2, order)), *(range(k, k + 1) for k in range(2, order))]:
         source = chunks if answers is None else with_answers()
-        got = source.mapInArrow(asking(levels), requests).groupBy("level", "bucket").applyInArrow(summed, "chunk long, level int, bucket int, counts binary")
+        got = source.mapInArrow(tidy(asking(levels)), requests).groupBy("level", "bucket").applyInArrow(summed, "chunk long, level int, bucket int, counts binary")
         got = scratch.write(got, batch_rows=1)
         answers = got if answers is None else answers.union(got)
         scratch.free_shuffles()
@@ -218,7 +219,7 @@ def backoff_scores(
                 mean = [x / n if n else None for x, n in zip(s.tolist(), c.lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.ids, pa.int64()), pa.array(c.lengths), pa.array(s), pa.array(mean, pa.float64())], names=["id", "n", "s", "m"])
 
-    out = scratch.write(with_answers().mapInArrow(scored, "id long, n long, s double, m double"), batch_rows=1)
+    out = scratch.write(with_answers().mapInArrow(tidy(scored), "id long, n long, s double, m double"), batch_rows=1)
     return out.toDF(key, "n_words", "log_score", "mean_log_score")
 
 
