@@ -25,7 +25,17 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -36,11 +46,13 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
         found = step(delta, total).distinct().join(total, total.columns, "left_anti").select(*total.columns)
         delta = written(found)
         if delta.isEmpty():
+            discard(delta)
             return total
         parts.append(delta)
         total = total.union(delta)
         if len(parts) == 12:
             total = written(total)
+            discard(*(p for p in parts if p is not delta))
             parts = [total]
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
@@ -72,7 +84,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = label.join(near, "n").select("n", F.least("component", "c").alias("component"))
         jump = hooked.select(F.col("n").alias("component"), F.col("component").alias("up"))
         new = written(hooked.join(jump, "component", "left").select("n", F.least("component", F.coalesce("up", "component")).alias("component")))
-        if new.join(label, ["n", "component"], "left_anti").isEmpty():
+        settled = new.join(label, ["n", "component"], "left_anti").isEmpty()
+        discard(label)
+        if settled:
+            discard(e)
             return new
         label = new
     raise RuntimeError("components did not settle")

@@ -77,16 +77,20 @@ def arrow_quads(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"g": g, "s": s and _row(s), "p": p, "o": o and _row(o), "error": e} for s, p, o, g, e in rows], schema=LINE_ARROW)
 
 
-def _native(v: Column) -> tuple[Column, Column, Column, Column]:
-    """(plain, s, p, o/g struct parts) for lines without escapes or triple terms."""
+def _cut(v: Column) -> Column:
+    """The seven parts of a line without escapes or triple terms, by one match; other lines give another number."""
     iri, label = r"<[A-Za-z][A-Za-z0-9+.-]*:[^<>\"{}|^`\\\x00-\x20]*>", r"_:[^\s<>\"'@^(){},;.](?:[^\s<>\"'@^(){},;]*[^\s<>\"'@^(){},;.])?"
     pattern = rf"^\s*({iri}|{label})\s*({iri})\s*(?:({iri}|{label})|\"([^\"\\\r\n]*)\"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^({iri}))?)\s*({iri}|{label})?\s*\.\s*(?:#.*)?$"
-    part = lambda i: F.regexp_extract(v, pattern, i)
-    s, p, node, text, lang, dt, g = (part(i) for i in range(1, 8))
-    inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
-    resource = lambda c: F.when(c.startswith("<"), R.make(1, inner(c))).otherwise(R.make(0, F.substr(c, F.lit(3))))
+    return F.split(F.regexp_replace(v, pattern, "\x01".join(f"${i}" for i in range(1, 8))), "\x01", -1)
+
+
+def _native(c: Column) -> tuple[Column, Column, Column, Column]:
+    """(s, p, o, g) of the parts of a plain line."""
+    s, p, node, text, lang, dt, g = (F.get(c, i) for i in range(7))
+    inner = lambda x: F.substr(x, F.lit(2), F.length(x) - 2)
+    resource = lambda x: F.when(x.startswith("<"), R.make(1, inner(x))).otherwise(R.make(0, F.substr(x, F.lit(3))))
     literal = R.make(2, text, F.when(lang != "", R.LANG_STRING).when(dt != "", inner(dt)).otherwise(R.STRING), F.lower(lang))
-    return s != "", resource(s), inner(p), F.when(node != "", resource(node)).otherwise(literal), F.when(g.startswith("<"), inner(g)).otherwise("")
+    return resource(s), inner(p), F.when(node != "", resource(node)).otherwise(literal), F.when(g.startswith("<"), inner(g)).otherwise("")
 
 
 def parse_lines(lines: DataFrame, mode: str = "PERMISSIVE", repair: Callable[[str, str], str | None] | None = None, flatten: bool = False) -> DataFrame:
@@ -95,9 +99,10 @@ def parse_lines(lines: DataFrame, mode: str = "PERMISSIVE", repair: Callable[[st
     mode PERMISSIVE keeps bad lines in an error column with null terms, DROPMALFORMED leaves them out, FAILFAST fails.
     repair(line, message) may give a line to try once instead. flatten puts all graphs into the default one.
     """
-    plain, s, p, o, g = _native(F.col("value"))
-    cut = lines.select("value", plain.alias("plain"), s.alias("s"), p.alias("p"), o.alias("o"), g.alias("g"))
-    easy = cut.where("plain").select("g", "s", "p", "o", F.lit(None).cast("string").alias("error"))
+    cut = lines.select("value", _cut(F.col("value")).alias("parts"))
+    plain = F.size("parts") == 7
+    s, p, o, g = _native(F.col("parts"))
+    easy = cut.where(plain).select(g.alias("g"), s.alias("s"), p.alias("p"), o.alias("o"), F.lit(None).cast("string").alias("error"))
 
     def run(batches):
         for b in batches:
@@ -121,7 +126,7 @@ def parse_lines(lines: DataFrame, mode: str = "PERMISSIVE", repair: Callable[[st
                     rows.append((*got, None))
             yield arrow_quads(rows)
 
-    hard = cut.where("not plain").where(r"not value rlike '^\\s*(#.*)?$'").select("value").mapInArrow(run, LINE)
+    hard = cut.where(~plain).where(r"not value rlike '^\\s*(#.*)?$'").select("value").mapInArrow(run, LINE)
     out = easy.unionByName(hard)
     out = out.withColumn("g", F.when(F.col("s").isNotNull(), F.lit(""))) if flatten else out
     return out if mode == "PERMISSIVE" else out.where("error is null").drop("error")
