@@ -162,6 +162,13 @@ class Dataset:
     def set(self, s: Term, p: str, o: Term, g: str = "") -> "Dataset":
         return self.remove_matching(s, p, None, g).add([(s, p, o, g)])
 
+    def add_graph(self, name: str) -> "Dataset":
+        """The dataset with a named graph registered, which may be empty."""
+        return self.with_quads(self.quads, self.graphs | {name})
+
+    def remove_graph(self, name: str) -> "Dataset":
+        return self.with_quads(None if self.quads is None else self.quads.where(F.col("g") != name), self.graphs - {name})
+
     def checkpoint(self) -> "Dataset":
         """The same dataset over a written copy of its quads, with a short lineage."""
         from .operators.fixpoint import written
@@ -285,6 +292,50 @@ class Resource:
         return Resource(Graph(self.graph.dataset.set(self.node, p, o, self.graph.name), self.graph.name), self.node)
 
 
+class Collection:
+    """An RDF list in a graph; a change gives a new Collection over a new dataset."""
+
+    def __init__(self, graph: Graph, head: Term):
+        self.graph, self.head = graph, head
+        self.members = graph.items(head)
+
+    def __len__(self) -> int:
+        return len(self.members)
+
+    def __getitem__(self, i: int) -> Term:
+        return self.members[i]
+
+    def __iter__(self):
+        return iter(self.members)
+
+    def index(self, item: Term) -> int:
+        return self.members.index(item)
+
+    def _cells(self) -> list[Term]:
+        rest = {R.from_row(r.s): R.from_row(r.o) for r in self.graph.triples(None, R.REST).collect()}
+        out, at = [], self.head
+        while at in rest and at not in out:
+            out.append(at)
+            at = rest[at]
+        return out
+
+    def append(self, item: Term) -> "Collection":
+        name, ds = self.graph.name, self.graph.dataset
+        new, quads = list_quads([item], name)
+        cells = self._cells()
+        if cells:
+            ds = ds.set(cells[-1], R.REST, new, name).add(quads)
+            return Collection(Graph(ds, name), self.head)
+        return Collection(Graph(ds.add(quads), name), new)
+
+    def clear(self) -> "Collection":
+        """The empty list; the cells go."""
+        name, ds = self.graph.name, self.graph.dataset
+        for c in self._cells():
+            ds = ds.remove_matching(c, R.FIRST, None, name).remove_matching(c, R.REST, None, name)
+        return Collection(Graph(ds, name), Term(1, R.NIL))
+
+
 def list_quads(items: list[Term], g: str = "") -> tuple[Term, list[tuple]]:
     """(head, quads) of a new RDF list."""
     if not items:

@@ -64,6 +64,14 @@ def parse_line(line: str) -> tuple[Term, str, Term, str] | None:
     return s, p.v, o, (out[3].v if out[3].k == 1 else "") if len(out) == 4 else ""
 
 
+def parse_term(text: str) -> Term:
+    """A term from its N-Triples text."""
+    got = parse_line(f"<x:s> <x:p> {text} .")
+    if got is None or got[3]:
+        raise SparqlError(f"not a term: {text!r}")
+    return got[2]
+
+
 def _row(t: Term):
     return {"k": t.k, "v": t.v, "dt": t.dt, "lang": t.lang, "dir": t.dir}
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from graphloom import queries
 from graphloom import terms as R
-from graphloom.dataset import Dataset, isomorphic
+from graphloom.dataset import Collection, Dataset, isomorphic, list_quads
 from graphloom.engine import query
 from graphloom.functions.expressions import register
 from graphloom.functions.values import Val, string_of
 from graphloom.graph_queries import stored
 from graphloom.plans.paths import link, negated, pairs
 from graphloom.plans.parser import SparqlError, parse_query
-from graphloom.sources import turtle
+from graphloom.sources import ntriples, turtle
 from graphloom.terms import Term, bnode, literal
 
 EX = "http://example.org/"
@@ -112,3 +112,24 @@ def test_parsing_random_text_only_raises_syntax_errors():
             parse_query(text)
         except SparqlError:
             pass
+
+
+def test_collections_and_graph_registry(spark):
+    head, quads = list_quads([literal(1), literal(2)])
+    ds = Dataset.of(spark, quads)
+    c = Collection(ds.graph(), head)
+    assert len(c) == 2 and c[1] == literal(2) and c.index(literal(2)) == 1 and list(c) == [literal(1), literal(2)]
+    longer = c.append(literal(3))
+    assert [t.value() for t in longer] == [1, 2, 3] and len(c) == 2 and len(longer.clear()) == 0
+    assert [t.value() for t in Collection(Dataset.of(spark, []).graph(), Term(1, R.NIL)).append(literal(7))] == [7]
+    loop = Dataset.of(spark, [(bnode("a"), R.FIRST, literal(1), ""), (bnode("a"), R.REST, bnode("a"), "")])
+    assert len(Collection(loop.graph(), bnode("a"))) == 1
+    d = ds.add_graph(EX + "g")
+    assert [r.g for r in d.graph_names().collect()] == [EX + "g"] and d.remove_graph(EX + "g").graph_names().count() == 0
+
+
+def test_terms_from_text():
+    for t in (literal("x\n", lang="en"), literal(5), I("a"), bnode("b"), R.triple_term(I("a"), EX + "p", literal("q"))):
+        assert ntriples.parse_term(t.n3) == t
+    with pytest.raises(SparqlError):
+        ntriples.parse_term("nonsense")
