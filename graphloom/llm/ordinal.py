@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .worker import slices, tidy
 
 #: Letters that stand for kinds of characters in a word's shape.
 _UPPER, _LOWER, _DIGIT = "A", "a", "0"
@@ -129,17 +129,25 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
             x = [hashed.of(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
-    return docs.mapInArrow(run, "id long, y int, x binary")
+    return docs.mapInArrow(tidy(run), "id long, y int, x binary")
+
+
+def rated_documents(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text", key: str = "doc_id", seed: int = 11) -> DataFrame:
+    """(id, y, text) of at most `sample` labelled documents, those with the least hashes of their keys. The labels are
+    cut first, so that they can be broadcast and no text is shuffled."""
+    ys = labels.where("quality is not null and toxic is not null").select(F.col(key).cast("long").alias("id"), grade(F.col("quality"), F.col("toxic")).alias("y"))
+    picked = ys.where("id is not null").groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
 
 
 def fit(
-    rated: DataFrame, grades: int = 3, size: int = 1 << 18, sample: int = 20_000, rounds: int = 20, rate: float = 0.3,
+    rated: DataFrame, grades: int = 3, size: int = 1 << 18, rounds: int = 20, rate: float = 0.3,
     decay: float = 1e-5, least_z: float = 6.0, least_rows: int = 3, seed: int = 11,
 ) -> Model:
-    """A model of rated(id, y, text), y from 0 to grades - 1 (others are left out); fitted on the driver on at most
-    `sample` rows, those with the least hashes of their ids. Grades weigh by the root of their inverse frequency.
-    Only features get a weight that stand in `least_rows` rows and move some tail by `least_z` standard errors."""
-    some = rated.where(f"id is not null and y >= 0 and y < {grades}").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
+    """A model of rated(id, y, text), y from 0 to grades - 1 (others are left out), fitted on the driver: give it a
+    bounded sample. Grades weigh by the root of their inverse frequency. Only features get a weight that stand in
+    `least_rows` rows and move some tail by `least_z` standard errors."""
+    some = rated.where(f"id is not null and y >= 0 and y < {grades}")
     rows = _features(some.select("id", F.col("y").cast("int").alias("y"), "text"), size).toArrow().sort_by("id")
     model = Model(size, grades)
     if not rows.num_rows:
@@ -180,13 +188,7 @@ def grade_texts(docs: DataFrame, model: Model, text: str = "text", key: str = "d
             )
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return named.mapInArrow(run, "id long, grade double, " + ", ".join(f"{n} double" for n in names) + ", selected boolean").toDF(key, "expected_grade", *names, "selected")
-
-
-def rated_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, y, text) of the labelled documents."""
-    ys = labels.where("quality is not null and toxic is not null").select(F.col("doc_id").alias("id"), grade(F.col("quality"), F.col("toxic")).alias("y")).dropDuplicates(["id"])
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ys, "id").select("id", "y", "text")
+    return named.mapInArrow(tidy(run), "id long, grade double, " + ", ".join(f"{n} double" for n in names) + ", selected boolean").toDF(key, "expected_grade", *names, "selected")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
