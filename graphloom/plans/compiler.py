@@ -78,6 +78,8 @@ class Compiler:
         self.now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         self.graph: str | tuple = ""  # '' default, an IRI, ("var", name)
         self.fresh = 0
+        #: constants that a filter right above a basic graph pattern compares its variables with
+        self.bounds: dict[str, list[tuple[str, float]]] = {}
 
     def hidden(self) -> str:
         self.fresh += 1
@@ -126,7 +128,17 @@ class Compiler:
         return Rel(fill(a).union(fill(b)), {v: reps[v] for v in names}, a.definite & b.definite)
 
     def _filter(self, e, p) -> Rel:
-        return self.filter(self.compile(p), e)
+        base = p
+        while base[0] in ("filter", "bind"):
+            base = base[2] if base[0] == "filter" else base[1]
+        before = self.bounds
+        if base[0] == "bgp":
+            self.bounds = before | _bounds(e)
+        try:
+            rel = self.compile(p)
+        finally:
+            self.bounds = before
+        return self.filter(rel, e)
 
     def filter(self, rel: Rel, e: tuple) -> Rel:
         if e[0] == "op" and e[1] == "&&":
@@ -341,7 +353,7 @@ class Compiler:
                 elif v not in left.definite:
                     seen[v] = of_rep(right.vars[v], F.coalesce(col(v), F.col(f"`r{column_name(v)}`")))
             scope = Scope(seen, self.base, now=self.now)
-            extra = _all([F.coalesce(boolean(evaluate(f, scope)), F.lit(False)) for f in filters])
+            extra = _all([boolean(evaluate(x, scope)) for f in filters for x in _conjuncts(f)])
         df = self._compatible(left.df, right, shared, sure, "left", extra)
         df = df.drop("unit") if left.vars or right.vars else df
         return Rel(df, left.vars | right.vars, left.definite)
@@ -471,6 +483,10 @@ class Compiler:
             else:
                 df = df.where(F.col(c).isNotNull())
                 cells.append((o, r, value))
+                if c in table.money:  # the exact test is on a cast; a slightly wider one on the column reaches the scan
+                    for op, x in self.bounds.get(o[1], ()):
+                        df = df.where(F.col(c) >= F.lit(x - 0.01)) if op in (">", ">=", "=") else df
+                        df = df.where(F.col(c) <= F.lit(x + 0.01)) if op in ("<", "<=", "=") else df
         return self._picked(df, cells, weight)
 
     # paths
@@ -730,6 +746,23 @@ class Compiler:
         return Val("term", out)
 
 
+def _conjuncts(e: tuple) -> list[tuple]:
+    return _conjuncts(e[2]) + _conjuncts(e[3]) if e[0] == "op" and e[1] == "&&" else [e]
+
+
+def _bounds(e: tuple) -> dict[str, list[tuple[str, float]]]:
+    """variable: [(sign, number)] of the comparisons with constants that a condition implies."""
+    out: dict[str, list[tuple[str, float]]] = {}
+    turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "="}
+    for c in _conjuncts(e):
+        if c[0] != "op" or c[1] not in turned:
+            continue
+        for sign, a, b in ((c[1], c[2], c[3]), (turned[c[1]], c[3], c[2])):
+            if a[0] == "var" and b[0] == "term" and b[1].dt in R.NUMERIC and not isinstance(b[1].value(), str):
+                out.setdefault(a[1], []).append((sign, float(b[1].value())))
+    return out
+
+
 def _is_narrow(v: Val) -> bool:
     return v.rep is None and v.const is None
 

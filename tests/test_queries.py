@@ -54,6 +54,13 @@ def test_constants_reach_the_scan(spark):
     assert "EqualTo(o_custkey,7)" in p
 
 
+def test_money_and_optional_filters_reach_the_scan(spark):
+    assert "GreaterThanOrEqual(o_totalprice,249999.99)" in plan(EVERY["exists"](spark, SF))
+    assert "GreaterThan(l_quantity,45.0)" in plan(EVERY["filter_num"](spark, SF)) and "LessThanOrEqual(l_extendedprice" in plan(EVERY["filter_num"](spark, SF))
+    p = plan(query(queries.dataset(spark, SF), queries.P + "SELECT ?c ?k { ?c c:c_name ?n OPTIONAL { ?l c:o_custkey ?c ; c:o_orderkey ?k FILTER(?k > 1000) } }"))
+    assert "GreaterThan(o_orderkey,1000)" in p
+
+
 def test_exists_and_minus_are_semi_and_anti_joins(spark):
     assert "LeftSemi" in plan(EVERY["exists"](spark, SF)) and "LeftAnti" in plan(EVERY["minus"](spark, SF)) and "LeftAnti" in plan(EVERY["not_exists"](spark, SF))
 
