@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import terms as R
 from .functions.values import as_term_rep
-from .sources.mapping import TABLE, TableMap
+from .sources.mapping import COLUMN, PREFIX, TABLE, LazyTables, TableMap
 from .terms import Namespaces, Term
 
 GRAPH = "urn:g:"  # named graph of a mapped table: urn:g:<table>
@@ -48,21 +48,16 @@ class Dataset:
 
     # scans
     def predicate_tables(self, predicate: str, graph: str = "") -> list[tuple[TableMap, str]]:
-        """Mapped columns of a predicate."""
-        out = []
-        for name in self._tables_in(graph):
-            table = self.tables[name] if self._might_have(name, predicate) else None
-            if table is not None and predicate in table.predicates():
-                out.append((table, table.predicates()[predicate]))
-        return out
-
-    def _might_have(self, name: str, predicate: str) -> bool:
-        first = {"region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "orders": "o_", "lineitem": "l_"}
-        from .sources.mapping import COLUMN, LazyTables
-
-        if not isinstance(self.tables, LazyTables) or name not in first:
-            return True
-        return predicate.startswith(COLUMN + first[name])
+        """Mapped columns of a predicate. Tables whose columns share a prefix are looked at first, so that the others
+        need not be opened."""
+        names = self._tables_in(graph)
+        first = [n for n in names if isinstance(self.tables, LazyTables) and n in PREFIX and predicate.startswith(COLUMN + PREFIX[n])]
+        rest = [n for n in names if n not in first and not (isinstance(self.tables, LazyTables) and n in PREFIX)]
+        for part in (first, rest):
+            out = [(self.tables[n], self.tables[n].predicates()[predicate]) for n in part if predicate in self.tables[n].predicates()]
+            if out:
+                return out
+        return []
 
     def _tables_in(self, graph: str) -> list[str]:
         if self.from_ is not None and graph == "":
@@ -97,8 +92,6 @@ class Dataset:
             else:
                 q = q.where(F.col("g") == graph)
             parts.append(q.select("g", "s", "p", "o"))
-        from .sources.mapping import COLUMN
-
         names = self._tables_in(graph) if graph is not None else [n for n in self.tables if self.from_named is None or GRAPH + n in self.from_named]
         for n in names:
             if p is not None and p != R.TYPE and (not p.startswith(COLUMN) or p not in self.tables[n].predicates()):

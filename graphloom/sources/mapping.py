@@ -21,6 +21,8 @@ REFERENCES = {
     "n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "nation", "o_custkey": "customer", "l_orderkey": "orders",
     "l_partkey": "part", "l_suppkey": "supplier", "user_id": "customer",
 }
+#: Tables all of whose columns start alike.
+PREFIX = {"region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "orders": "o_", "lineitem": "l_"}
 #: Columns of money: decimals with two places.
 MONEY = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_extendedprice"}
 

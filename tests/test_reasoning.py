@@ -7,6 +7,8 @@ from graphloom.dataset import quads_frame
 from graphloom.operators import reasoning
 from graphloom.sources import turtle
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 EX = "http://example.org/"
 HEAD = f"@prefix : <{EX}> . @prefix rdfs: <{R.RDFS}> . @prefix owl: <{R.OWL}> . @prefix xsd: <{R.XSD}> .\n"
 

@@ -6,6 +6,8 @@ from graphloom.operators import rules
 from graphloom.plans.parser import SparqlError
 from graphloom.sources import turtle
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 EX = "http://example.org/"
 P = f"PREFIX : <{EX}> "
 

@@ -8,6 +8,8 @@ from graphloom.operators import shacl
 from graphloom.operators.shapes import SHNEX
 from graphloom.sources import turtle
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 EX = "http://example.org/"
 HEAD = f"@prefix : <{EX}> . @prefix sh: <{R.SH}> . @prefix rdfs: <{R.RDFS}> . @prefix rdf: <{R.RDF}> . @prefix xsd: <{R.XSD}> . @prefix owl: <{R.OWL}> . @prefix shnex: <{SHNEX}> .\n"
 DATA = """

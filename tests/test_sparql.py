@@ -10,6 +10,8 @@ from graphloom.plans.parser import SparqlError, parse_query, parse_update
 from graphloom.sources import turtle
 from graphloom.terms import Term, literal
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 EX = "http://example.org/"
 P = f"PREFIX ex: <{EX}> PREFIX xsd: <{R.XSD}> PREFIX rdf: <{R.RDF}> "
 DATA = f"""@prefix ex: <{EX}> . @prefix xsd: <{R.XSD}> .
