@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
+from .worker import tidy
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -120,7 +121,7 @@ def near_vectors(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), e).alias("e"))
-    every = scratch.write(rows.where("id is not null and e is not null").mapInArrow(packed, "id long, v binary"))
+    every = scratch.write(rows.where("id is not null and e is not null").mapInArrow(tidy(packed), "id long, v binary"))
     classes = scratch.write(every.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "v"))
     total, width = classes.agg(F.count("*"), F.max(F.length("v"))).first()
     if not total:
@@ -134,7 +135,7 @@ def near_vectors(
             x = _unit(b.column(2).to_pylist(), dim)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.value.lists(x)[0], pa.int32())], names=["id", "n", "v", "list"])
 
-    placed = scratch.write(classes.mapInArrow(assigned, "id long, n long, v binary, list int"))
+    placed = scratch.write(classes.mapInArrow(tidy(assigned), "id long, n long, v binary, list int"))
     blocks = {r.list: -(-r.c // block) for r in placed.groupBy("list").agg(F.count("*").alias("c")).collect()}  # a row a list
     blocks = spark.sparkContext.broadcast(blocks)
 
@@ -215,8 +216,8 @@ def near_vectors(
         if waiting:
             yield from solve()
 
-    work = placed.mapInArrow(dealt, "list int, part int, role int, id long, n long, own int, v binary").repartition("list", "part").sortWithinPartitions("list", "part", "role")
-    found = scratch.write(work.mapInArrow(matched, "edge boolean, a long, b long"))
+    work = placed.mapInArrow(tidy(dealt), "list int, part int, role int, id long, n long, own int, v binary").repartition("list", "part").sortWithinPartitions("list", "part", "role")
+    found = scratch.write(work.mapInArrow(tidy(matched), "edge boolean, a long, b long"))
     counts = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("c"))
     components = connected_components(found.where("edge").select("a", "b"), scratch)
     per = classes.select("v", "n", F.col("id").alias("rep")).join(counts, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")

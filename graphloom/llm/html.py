@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .worker import slices, tidy
 
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,4 +206,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             )
 
     named = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.col(page).alias("h"))
-    return named.mapInArrow(run, "k long, u string, t string, n long").toDF(key, url, "text", "n_chars")
+    return named.mapInArrow(tidy(run), "k long, u string, t string, n long").toDF(key, url, "text", "n_chars")

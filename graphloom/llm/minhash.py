@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
-from .tokens import slices
+from .worker import slices, tidy
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -108,7 +108,7 @@ def _signatures(docs: DataFrame, text: str, key: str, width: int, bands: int, ro
                 names=["id", "n", "sig", "keys"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, sig binary, keys binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), "id long, n long, sig binary, keys binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = shingler.sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -215,8 +215,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int) ->
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     held = rows.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("key", "m", "id", "c", "shingles")
-    dealt = held.mapInArrow(deal, "key long, p int, q int, own int, id long, c long, x binary")
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(run, "a long, b long")
+    dealt = held.mapInArrow(tidy(deal), "key long, p int, q int, own int, id long, c long, x binary")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(tidy(run), "a long, b long")
 
 
 def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
@@ -254,7 +254,7 @@ def near_duplicates(
             ids, n = np.repeat(batch.column(0).to_numpy(), bands), np.repeat(batch.column(1).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(n)], names=["key", "id", "n"])
 
-    every = classes.select("rep", "n", "keys").mapInArrow(emit, "key long, id long, n long")
+    every = classes.select("rep", "n", "keys").mapInArrow(tidy(emit), "key long, id long, n long")
     shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1").select(F.col("key").alias("k"), "m", "hub")
     members = scratch.write(every.join(shared, F.col("key") == F.col("k")).select("key", "m", "hub", "id", "n"))
     scratch.free_shuffles()

@@ -6,7 +6,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, slices
+from .tokens import encoder
+from .worker import slices, tidy
 
 
 class Packer:
@@ -148,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         packer.finish()
         yield from rows(final=True)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, SCHEMA.format(key=key))
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(tidy(run), SCHEMA.format(key=key))
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .minhash import _mixed
-from .tokens import slices
+from .worker import slices, tidy
 
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -197,7 +197,7 @@ def _occurrences(named: DataFrame, length: int, gram: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return named.select("id", "th", "b").mapInArrow(run, "h long, ch binary, id long, th long, first long, n int, twice boolean")
+    return named.select("id", "th", "b").mapInArrow(tidy(run), "h long, ch binary, id long, th long, first long, n int, twice boolean")
 
 
 def _contexts(wanted: DataFrame, length: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _contexts(wanted: DataFrame, length: int) -> DataFrame:
                     cols = list(zip(*out[at : at + 4096], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=["h", "k", "id", "th", "first", "context"])
 
-    return wanted.mapInArrow(run, "h long, k long, id long, th long, first long, context binary")
+    return wanted.mapInArrow(tidy(run), "h long, k long, id long, th long, first long, context binary")
 
 
 _MARK = "id long, th long, start long, stop long"
@@ -255,7 +255,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
         if group and (found := solve(group)):
             yield _mark_batch(found)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, _MARK)
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), _MARK)
 
 
 def _large_shards(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -270,7 +270,7 @@ def _large_shards(contexts: DataFrame, length: int, scratch: Scratch) -> DataFra
                     names=["w", "k", "id", "th", "start"],
                 )
 
-    windows = scratch.write(contexts.mapInArrow(run, "w binary, k long, id long, th long, start long"))
+    windows = scratch.write(contexts.mapInArrow(tidy(run), "w binary, k long, id long, th long, start long"))
     twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     return windows.where("k = 1").join(twice, "w").select("id", "th", "start", (F.col("start") + length).alias("stop"))
 
@@ -295,7 +295,7 @@ def repeated_spans(named: DataFrame, scratch: Scratch, length: int, gram: int) -
     held = named.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("id", "th", "b", "wanted")
     contexts = scratch.write(_contexts(held, length).dropDuplicates(["h", "id", "th", "first"]), batch_rows=1000)
     scratch.free_shuffles()
-    large = need.where(F.col("bytes") > BLOCK // 2).select("h").distinct()
+    large = need.where(F.col("bytes") > BLOCK // 8).select("h").distinct()
     some_large = not large.isEmpty()
     small = contexts.join(large, "h", "left_anti") if some_large else contexts
     marks = scratch.write(_sorted_shards(small, length))
@@ -348,7 +348,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, text: str = "text", key: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = named.join(marks, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left").select("id", "b", "marks")
-    return joined.mapInArrow(run, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 160) -> DataFrame:
@@ -368,7 +368,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     plain = joined.where("marks is null").select(*docs.columns)
     cutting = joined.where("marks is not null").withColumn("t", F.col(text)).select(*docs.columns, "t", "marks")
     schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ",m_text:string>"
-    changed = cutting.mapInArrow(cut, schema)
+    changed = cutting.mapInArrow(tidy(cut), schema)
     new = {text: F.col("m_text")} | ({"n_chars": F.length("m_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return plain.unionByName(changed.withColumns(new).select(*docs.columns))
 

@@ -6,7 +6,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, slices
+from .tokens import encoder
+from .worker import slices, tidy
 
 
 class Rooms:
@@ -110,7 +111,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", key: s
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(tidy(run), SCHEMA)
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

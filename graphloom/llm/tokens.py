@@ -55,14 +55,3 @@ def encoder(path: str) -> Encoder:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
-
-def slices(table_iter, rows: int = 256, size: int = 4_000_000):
-    """(record batch slices): few rows and few bytes at a time, long texts alone."""
-    for batch in table_iter:
-        at = 0
-        while at < batch.num_rows:
-            n = min(rows, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).nbytes > size:
-                n //= 2
-            yield batch.slice(at, n)
-            at += n
