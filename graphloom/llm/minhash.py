@@ -288,5 +288,6 @@ def near_duplicates(
 
 def deduplicated(docs: DataFrame, scratch: Scratch, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay: one document of each component; the columns of docs."""
-    gone = near_duplicates(docs, scratch, key=key, **options).where("not kept").select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(gone, F.col(key).cast("long") == F.col("gone_key"), "left_anti")
+    gone = near_duplicates(docs, scratch, key=key, **options).where("not kept").select(F.col(key).alias("gone")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("k"))
+    return rows.join(gone, F.col("k") == F.col("gone"), "left_anti").select("row.*")

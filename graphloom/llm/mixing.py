@@ -160,14 +160,15 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", seed: int = 17, **options) -> DataFrame:
-    """The rows of docs, each as often as drawn, dealt to its output shards and shuffled inside each shard."""
-    plan = mix(docs, scratch, key=key, seed=seed, **options).select(F.col(key).alias("m_key"), F.explode("m_shards").alias("m_shard"), F.monotonically_increasing_id().alias("m_copy"))
+    """The rows of docs, each as often as drawn: a partition per output shard, shuffled inside."""
+    plan = mix(docs, scratch, key=key, seed=seed, **options).select(F.col(key).alias("m_key"), F.explode("m_shards").alias("m_shard"))
     plan = scratch.write(plan.groupBy("m_key", "m_shard").agg(F.count("*").alias("m_times")))
-    same = docs.groupBy(F.col(key).alias("r_key")).agg(F.count("*").alias("r_n"))
-    plan = plan.join(same, F.col("m_key").eqNullSafe(F.col("r_key"))).select("m_key", "m_shard", (F.col("m_times") / F.col("r_n")).cast("int").alias("m_times"))
-    out = docs.join(plan, F.col(key).eqNullSafe(F.col("m_key"))).withColumn("m_turn", F.explode(F.sequence(F.lit(1), "m_times")))
-    order = F.xxhash64(F.lit(seed + 2), key, "m_turn", "m_shard")
-    return out.withColumn("m_order", order).repartition("m_shard").sortWithinPartitions("m_shard", "m_order").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("r_key"))
+    same = rows.groupBy(F.col("r_key").alias("same_key")).agg(F.count("*").alias("n"))
+    plan = plan.join(same, F.col("m_key").eqNullSafe(F.col("same_key"))).select("m_key", "m_shard", (F.col("m_times") / F.col("n")).cast("int").alias("m_times"))
+    out = rows.join(plan, F.col("r_key").eqNullSafe(F.col("m_key"))).withColumn("m_turn", F.explode(F.sequence(F.lit(1), "m_times")))
+    order = F.xxhash64(F.lit(seed + 2), "r_key", "m_turn", "m_shard")
+    return out.withColumn("m_order", order).repartition("m_shard").sortWithinPartitions("m_shard", "m_order").select("row.*")
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -53,4 +53,35 @@ def op10_lm_scoring(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_html_extraction, op3_token_output, op4_embedding_dedup, op5_packing, op6_suffix_dedup, op7_quality_classifier, op8_mixing, op9_quality_rules, op10_lm_scoring)}
-ORACLE_SQL = {"op9_quality_rules": rules.ORACLE_SQL, "op10_lm_scoring": lm.ORACLE_SQL}
+_REACH = """r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a)"""
+
+#: All pairs by shared shingles: exact, for small tables.
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i+1] END AS g FROM (SELECT id, ws, unnest(generate_series(1, greatest(1, len(ws) - 1))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT d.id, count(s.g)::BIGINT AS n FROM d LEFT JOIN s ON d.id = s.id GROUP BY d.id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+l AS (SELECT x, y FROM p JOIN n na ON na.id = x JOIN n nb ON nb.id = y WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+{_REACH}
+SELECT n.id AS doc_id, n.n AS n_shingles, component_id, n.id = component_id AS kept FROM n JOIN c USING (id)
+"""
+
+#: The pages of these tables: what stands in the article, without its tags.
+OP2_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+#: All pairs by cosine.
+OP4_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT id FROM v), l AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+{_REACH}
+SELECT n.id AS vec_id, (SELECT count(*) FROM l WHERE l.x = n.id)::BIGINT AS n_links, component_id, n.id = component_id AS kept FROM n JOIN c USING (id)
+"""
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_html_extraction": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op9_quality_rules": rules.ORACLE_SQL, "op10_lm_scoring": lm.ORACLE_SQL}

@@ -358,19 +358,18 @@ def without_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     def cut(batches):
         for batch in slices(batches, rows=256, size=1 << 21):
             out = []
-            for _, parts, _, _ in _kept({"b": (r["t"] or "").encode(), "marks": r["marks"]} for r in batch.to_pylist()):
+            for _, parts, _, _ in _kept({"b": (t or "").encode(), "marks": m} for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 out.append("".join(p.decode("utf-8", "ignore") for p in parts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "m_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "left"])
 
     t = F.coalesce(F.col(text), F.lit(""))
-    th = F.xxhash64(t)
-    joined = docs.join(marks, F.col(key).cast("long").eqNullSafe(F.col("mid")) & (th == F.col("mth")), "left").drop("mid", "mth")
-    plain = joined.where("marks is null").select(*docs.columns)
-    cutting = joined.where("marks is not null").withColumn("t", F.col(text)).select(*docs.columns, "t", "marks")
-    schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ",m_text:string>"
-    changed = cutting.mapInArrow(tidy(cut), schema)
-    new = {text: F.col("m_text")} | ({"n_chars": F.length("m_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return plain.unionByName(changed.withColumns(new).select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    joined = rows.join(marks, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left")
+    plain = joined.where("marks is null").select("row.*")
+    row_type = joined.schema["row"].dataType.simpleString()
+    changed = joined.where("marks is not null").select("row", "t", "marks").mapInArrow(tidy(cut), f"row {row_type}, left string")
+    new = {text: F.col("left")} | ({"n_chars": F.length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return plain.unionByName(changed.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]))
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -99,6 +99,7 @@ def test_mix(spark):
 def test_mixed_documents(spark):
     rows, docs = corpus(spark)
     copies = {r.doc_id: r.taken // max(r["size"], 1) for r in mixing.digest(docs, Scratch(spark)).collect() if r["size"]}
+    docs = docs.withColumn("m_key", docs.doc_id).withColumn("row", docs.text)
     out = mixing.mixed_documents(docs, Scratch(spark))
     assert out.columns == docs.columns
     got = Counter(r.doc_id for r in out.collect() if (r.text or "").split())

@@ -93,7 +93,7 @@ def test_large_shards_take_the_other_way(spark, monkeypatch):
 def test_without_repeats_keeps_rows_columns_and_characters(spark):
     rows = texts()
     docs = spark.createDataFrame([(k, t, "s", 0) for k, t in rows], "doc_id long, text string, marks string, n_chars long")
-    got = suffix.without_repeats(docs.drop("marks"), Scratch(spark), length=40, gram=16)
-    assert got.columns == ["doc_id", "text", "n_chars"] and got.count() == len(rows)
+    got = suffix.without_repeats(docs, Scratch(spark), length=40, gram=16)
+    assert got.columns == ["doc_id", "text", "marks", "n_chars"] and got.count() == len(rows)
     kept = {r.doc_id: r.text for r in got.collect()}
     assert kept[106] is None and kept[100] == "" and kept[107] == dict(rows)[107]
