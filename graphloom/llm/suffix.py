@@ -134,11 +134,10 @@ class Anchors:
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(back[:k], ahead[w - 1 : w - 1 + k])
-        text = np.zeros(k, dtype=np.int32)
+        text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[:k]
         valid = np.ones(k, dtype=bool)
-        for i, e in enumerate(ends[:-1]):
+        for e in ends[:-1]:
             valid[max(0, e - self.length + 1) : e] = False
-            text[e:] = i + 1
         new = np.ones(k, dtype=bool)
         new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]) | (text[1:] != text[:-1])
         start = np.flatnonzero(new)
