@@ -102,7 +102,7 @@ class Term:
             pass
         return self.v
 
-    def skolemize(self, authority: str = "http://rdflib.example", path: str = "/.well-known/genid/") -> "Term":
+    def skolemize(self, authority: str = "http://example.org", path: str = "/.well-known/genid/") -> "Term":
         return Term(1, authority.rstrip("/") + path + self.v) if self.k == 0 else self
 
     def defrag(self) -> "Term":
