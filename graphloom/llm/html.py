@@ -26,8 +26,10 @@ AROUND = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\W_])(?:article|content|entry|main|post|story|text|body)(?:$|[\W_])", re.I)
 _NEVER = re.compile(r"(?:^|[\W_])(?:comment\w*|repl(?:y|ies)|related|sponsor\w*|promo\w*)(?:$|[\W_])", re.I)
+#: Attributes of a tag: quotes count only right after an equals sign, stray ones are skipped, as browsers do.
+_ATTRIBUTES = r"""(?>\s+|/|[^\s"'>/=<][^\s>/=]*+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+))?|["'=<])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}

@@ -24,7 +24,8 @@ def test_main_text(root):
         ("", ""), ("just text & more", "just text & more"), ("<p>a<p>b<div>c</div>", "a b c"), ("<article><p>x", "x"),
         ("<main><aside>no</aside><p>Yes, this.</p></main>", "Yes, this."), ("<p>a&nbsp;&eacute;&#x41;&amp;lt;</p>", "a éA&lt;"),
         ("<article><header><h1>Head</h1></header><p>Body, text.</p><footer>by me</footer></article>", "Head Body, text."),
-        ("<article><p>x, y<article class=comment><p>first, comment, here</p></article></article>", "x, y"), ("<!-- only", ""), ("< a < b", "< a < b"),
+        ("<article><p>x, y<article class=comment><p>first, comment, here</p></article></article>", "x, y"), ("<!-- only", ""), ("<p title=don't>Stays, here.</p><p>It's all.</p>", "Stays, here. It's all."), ('<p class="x"">One, two.</p><p id="y">Three.</p>', "One, two. Three."),
+        ('<p title="a > b">Kept, yes.</p>', "Kept, yes."), ('<p a="open>text, here</p>', "text, here"), ("<article><p data-x='1' hidden>gone</p><p>x, y</p></article>", "x, y"), ("< a < b", "< a < b"),
         ("<div>" * 3000 + "deep, text." + "</div>" * 3000, "deep, text."),
     ],
 )
