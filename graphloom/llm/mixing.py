@@ -168,7 +168,8 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", seed
     plan = plan.join(same, F.col("m_key").eqNullSafe(F.col("same_key"))).select("m_key", "m_shard", (F.col("m_times") / F.col("n")).cast("int").alias("m_times"))
     out = rows.join(plan, F.col("r_key").eqNullSafe(F.col("m_key"))).withColumn("m_turn", F.explode(F.sequence(F.lit(1), "m_times")))
     order = F.xxhash64(F.lit(seed + 2), "r_key", "m_turn", "m_shard")
-    return out.withColumn("m_order", order).repartition("m_shard").sortWithinPartitions("m_shard", "m_order").select("row.*")
+    n_shards = 1 + (plan.agg(F.max("m_shard")).first()[0] or 0)
+    return out.withColumn("m_order", order).repartitionById(n_shards, F.col("m_shard").cast("int")).sortWithinPartitions("m_order").select("row.*")
 
 
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
