@@ -23,6 +23,8 @@ _MAX = _U(0xFFFFFFFFFFFFFFFF)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Symbols of one suffix sort: three names then fit into 63 bits.
 BLOCK = (1 << 21) - 16
+#: Bytes of contexts that a sorting task gets on average.
+TASK_BYTES = 2 << 20
 
 
 # suffix array ---------------------------------------------------------------------------------------------------------
@@ -228,7 +230,7 @@ def _spans(starts: np.ndarray, length: int):
             yield int(part[0]), int(part[-1]) + length
 
 
-def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
+def _sorted_shards(contexts: DataFrame, length: int, tasks: int) -> DataFrame:
     """Marks of windows that repeat among the contexts of an anchor; rows come in the order of their anchors."""
 
     def solve(group):
@@ -254,7 +256,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
         if group and (found := solve(group)):
             yield _mark_batch(found)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), _MARK)
+    return contexts.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(tidy(run), _MARK)
 
 
 def _large_shards(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -297,7 +299,8 @@ def repeated_spans(named: DataFrame, scratch: Scratch, length: int, gram: int) -
     large = need.where(F.col("bytes") > BLOCK // 8).select("h").distinct()
     some_large = not large.isEmpty()
     small = contexts.join(large, "h", "left_anti") if some_large else contexts
-    marks = scratch.write(_sorted_shards(small, length))
+    tasks = 1 + (need.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0) // TASK_BYTES
+    marks = scratch.write(_sorted_shards(small, length, tasks))
     if some_large:
         marks = marks.union(scratch.write(_large_shards(contexts.join(large, "h", "left_semi"), length, scratch)))
     scratch.drop(contexts, need)
