@@ -73,3 +73,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 25 and set(SQL) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_conversation_closure_covers_every_conversation(spark, duck):
+    """Brute force over tables whose ids go beyond those of the smallest ones."""
+    big = SF.replace("sf0.001", "sf0.01")
+    have = set(duck.execute(f"SELECT conv_id, turn FROM '{big}/conversations.parquet'").fetchall())
+    want = set()
+    for conv, turn in have:
+        to = turn + 1
+        while (conv, to) in have:
+            want.add((f"{conv}-{turn}", f"{conv}-{to}"))
+            to += 1
+    got = [(r.x, r.y) for r in EVERY["path_conversation_closure"](spark, big).collect()]
+    assert max(conv for conv, _ in have) >= 40 and len(got) == len(want) and set(got) == want
