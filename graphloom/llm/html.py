@@ -26,6 +26,8 @@ AROUND = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\W_])(?:article|content|entry|main|post|story|text|body)(?:$|[\W_])", re.I)
 _NEVER = re.compile(r"(?:^|[\W_])(?:comment\w*|repl(?:y|ies)|related|sponsor\w*|promo\w*)(?:$|[\W_])", re.I)
+#: Class words for the state of a wrapper, such as has-sidebar or comments-open, which name what it has and not what it is.
+_STATE = re.compile(r"(?<!\S)(?:(?:no|not|has|with|without|fixed|sticky)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled|on|off))(?!\S)", re.I)
 #: Attributes of a tag: quotes count only right after an equals sign, stray ones are skipped, as browsers do.
 _ATTRIBUTES = r"""(?>\s+|/|[^\s"'>/=<][^\s>/=]*+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+))?|["'=<])*+"""
 _TOKEN = re.compile(
@@ -37,31 +39,34 @@ _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、；：！？]")
 
 
 class Block:
-    """Text between two block boundaries, with the path from the root to its element and the elements on it."""
+    """Text between two block boundaries, with the path from the root to its element, the elements on it, and those of
+    them that are named as standing beside the article: (number, whether the name alone tells)."""
 
-    __slots__ = ("path", "within", "parts", "linked", "around")
+    __slots__ = ("path", "within", "parts", "linked", "around", "named")
 
-    def __init__(self, path: tuple[str, ...], within: tuple[tuple[int, str], ...], around: bool):
-        self.path, self.within, self.around, self.parts, self.linked = path, within, around, [], 0
+    def __init__(self, path: tuple[str, ...], within: tuple[tuple[int, str], ...], around: bool, named: tuple[tuple[int, bool], ...]):
+        self.path, self.within, self.around, self.named, self.parts, self.linked = path, within, around, named, [], 0
 
     @property
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _beside(tag: str, names: str, header: bool) -> bool:
-    """Whether an element's class, id or role says that it stands beside the article."""
+def _beside(tag: str, names: str, header: bool, nested: bool) -> bool | None:
+    """Whether an element's class, id or role says that it stands beside the article: None for no, True where the name
+    alone tells (comments, related and sponsored parts), False where its share of the text has to tell."""
     if not names or tag in ("html", "body") or not AROUND.search(names):
-        return False
+        return None
+    names = _STATE.sub("", names) if _STATE.sub("", names).strip() else names
     if _NEVER.search(names):
-        return True
-    return tag not in CONTENT and not header and not ARTICLE.search(names)
+        return tag not in CONTENT or nested
+    return False if tag not in CONTENT and not header and AROUND.search(names) and not ARTICLE.search(names) else None
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Tolerant: unclosed and stray tags are taken as browsers mostly do."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, around, content, inside a link, number
+    stack: list[tuple[str, bool, int, bool, int, bool | None]] = []  # tag, around, content (2 inside article), inside a link, number, beside by name
     here: Block | None = None
     at, n, number = 0, len(page), 0
 
@@ -69,12 +74,12 @@ def blocks(page: str) -> list[Block]:
         nonlocal here
         if not s:
             return
-        around, _, link = stack[-1][1:4] if stack else (False, False, False)
+        around, _, link = stack[-1][1:4] if stack else (False, 0, False)
         if here is None:
             if not s.strip():
                 return
             outer = [t for t in stack if t[0] not in INLINE]
-            here = Block(tuple(t[0] for t in outer), tuple((t[4], t[0]) for t in outer), around)
+            here = Block(tuple(t[0] for t in outer), tuple((t[4], t[0]) for t in outer), around, tuple((t[4], t[5]) for t in stack if t[5] is not None))
             out.append(here)
         here.parts.append(s)
         if link:
@@ -125,12 +130,38 @@ def blocks(page: str) -> list[Block]:
             continue
         names = " ".join(a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role"))
         hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", m[3], re.I))
-        around, content, link = stack[-1][1:4] if stack else (False, False, False)
-        content = content or tag in CONTENT
-        header = tag == "header" and content  # an article's own header holds its heading
-        around = around or hidden or tag in HIDDEN and not header or _beside(tag, names, header)
+        around, content, link = stack[-1][1:4] if stack else (False, 0, False)
+        nested, content = content == 2, 2 if tag == "article" else max(content, tag in CONTENT)
+        header = tag == "header" and content > 0  # an article's own header holds its heading
+        around = around or hidden or tag in HIDDEN and not header
         number += 1
-        stack.append((tag, around, content, link or tag == "a", number))
+        stack.append((tag, around, content, link or tag == "a", number, _beside(tag, names, header, nested)))
+    return out
+
+
+def _ruled_out(found: list[Block]) -> set[int]:
+    """Numbers of the named elements that do stand beside the article, by their share of the text outside links.
+
+    Comments and their like are ruled out unless hardly any text is left without them. Other names rule out an element
+    unless it holds most of the rest: of what is inside article and main or, where those hold little, of all of it.
+    """
+    size = [max(0, len(b.text) - b.linked) for b in found]
+    out: set[int] = set()
+    for sure in (True, False):
+        live = [(b, n) for b, n in zip(found, size, strict=True) if not any(e in out for e, _ in b.named)]
+        total = content = 0
+        held: dict[int, list[int]] = {}
+        for b, n in live:
+            inside = n * any(t in CONTENT for _, t in b.within)
+            total, content = total + n, content + inside
+            for e, kind in b.named:
+                if kind == sure:
+                    row = held.setdefault(e, [0, 0])
+                    row[0], row[1] = row[0] + n, row[1] + inside
+        for e, (n, inside) in held.items():
+            most = 10 * (total - n) < n if sure else 2 * inside > content or 2 * n > total and 10 * (content - inside) < n
+            if not most:
+                out.add(e)
     return out
 
 
@@ -166,9 +197,12 @@ def main_text(page: str, spread: float = 1.0, share: float = 0.25) -> str:
     fused by a geometric mean. Paths that reach `share` of the text-weighted mean are content nodes. The article is then
     the element around them: the article or main elements that hold most of their text or, without such, the smallest
     element that does; its other blocks (headings, short lines) belong to it unless they are mostly links. Blocks of
-    navigation, notices, adverts, forms, comments and the like never count.
+    navigation, notices, adverts, forms, comments and the like never count; where only a class, id or role says so, the
+    element's share of the text has to agree, and nothing is ruled out by name when nothing else is left.
     """
-    found = [b for b in blocks(page) if not b.around and b.text]
+    seen = [b for b in blocks(page) if not b.around and b.text]
+    beside = _ruled_out(seen) if any(b.named for b in seen) else ()
+    found = [b for b in seen if not any(e in beside for e, _ in b.named)] or seen
     if not found:
         return ""
     scores = path_scores(found, spread)

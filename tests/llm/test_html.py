@@ -39,3 +39,28 @@ def test_extract(spark):
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in extract(df).collect()}
     assert got == {(1, "u"): (WANT, len(WANT)), (2, None): ("", 0), (None, "v"): ("", 0), (5, "w"): (("long, text. " * 60000).strip(), 12 * 60000 - 1)}
     assert extract(df).count() == 5 and extract(df.limit(0)).count() == 0
+
+
+LONG = "<h1>Head</h1>" + "".join(f"<p>Sentence {i}, with words, and a stop. Then one more, as long.</p>" for i in range(6))
+HELD = "Head " + " ".join(f"Sentence {i}, with words, and a stop. Then one more, as long." for i in range(6))
+SIDE = '<div class="sidebar"><p>Hot, now, today.</p></div><div id="comments"><p>Great, great. I like it.</p></div>'
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "site sidebar-right", "container fixed-header", "page no-sidebar", "search", "promo"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_a_wrapper_named_after_what_it_has_keeps_its_article(names, inner):
+    assert main_text(f'<body><div class="{names}"><{inner}>{LONG}</{inner}>{SIDE}</div><footer>(c) us, all rights.</footer></body>') == HELD
+
+
+@pytest.mark.parametrize("names", ["post comments-open", "single-post no-comments", "post promo"])
+def test_an_article_named_after_its_comments_is_kept(names):
+    assert main_text(f'<body><main><article class="{names}">{LONG}</article>{SIDE}</main></body>') == HELD
+    assert main_text(f'<body><article class="{names}">{LONG}</article></body>') == HELD
+
+
+def test_named_elements_beside_the_article_are_left_out():
+    more = LONG.replace("Sentence", "Remark") * 3
+    assert main_text(f'<body><article>{LONG}</article><section id="comments">{more}</section></body>') == HELD
+    assert main_text(f'<body><article>{LONG}</article><div class="sidebar">{more}</div></body>') == HELD
+    assert main_text(f'<body><div class="site sidebar-right"><article>{LONG}</article></div><div class="comment-list">{more}</div></body>') == HELD
+    assert main_text('<div class="notice"><p>Only this, here.</p></div>') == "Only this, here."
