@@ -212,17 +212,17 @@ def main_text(page: str, spread: float = 1.0, share: float = 0.25) -> str:
     good = [i for i, b in enumerate(found) if scores[b.path][0] >= share * mean and scores[b.path][1] > 0]
     if not good:
         return " ".join(b.text for b in found)
+    chosen = set(good)
     most = sum(size[i] for i in good) / 2
     for kind in ("article", "main"):
         roots = {next(e for e in found[i].within if e[1] == kind) for i in good if any(e[1] == kind for e in found[i].within)}
         if sum(size[i] for i in good if roots.intersection(found[i].within)) > most:
-            return " ".join(b.text for b in found if roots.intersection(b.within))
+            return " ".join(b.text for i, b in enumerate(found) if roots.intersection(b.within) and (i in chosen or b.linked * 2 <= len(b.text)))
     held: dict[tuple[int, str], int] = {}
     for i in good:
         for e in found[i].within:
             held[e] = held.get(e, 0) + size[i]
     root = max((e for e, n in held.items() if n > 1.6 * most), key=lambda e: e[0], default=(0, ""))
-    chosen = set(good)
     if root[1] not in ("", "html", "body"):
         chosen |= {i for i, b in enumerate(found) if root in b.within and b.linked * 2 <= len(b.text)}
     else:  # no element of its own: headings right before a content node go with it

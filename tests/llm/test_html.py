@@ -64,3 +64,16 @@ def test_named_elements_beside_the_article_are_left_out():
     assert main_text(f'<body><article>{LONG}</article><div class="sidebar">{more}</div></body>') == HELD
     assert main_text(f'<body><div class="site sidebar-right"><article>{LONG}</article></div><div class="comment-list">{more}</div></body>') == HELD
     assert main_text('<div class="notice"><p>Only this, here.</p></div>') == "Only this, here."
+
+
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_lists_of_links_inside_the_article_are_left_out(inner):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Share it on number {i}</a></li>" for i in range(5)) + "</ul>"
+    own = '<p><a href="/x">A linked sentence, as long as the others, of the text.</a></p>'
+    want = HELD + " A linked sentence, as long as the others, of the text. Short line"
+    assert main_text(f"<body><{inner}>{LONG}{own}<h2>Short line</h2>{links}</{inner}></body>") == want
+
+
+def test_paths_below_the_threshold_are_left_out_without_article_or_main():
+    table = "<table><tr><td>c1<td>c2</table>"
+    assert main_text(f"<body><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>{LONG}<dl><dt>a</dt></dl><ol><li>b</li></ol>{table}</body>") == HELD + " a"  # the path beside the text is lifted by the smoothing
