@@ -159,16 +159,17 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", seed: int = 17, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", seed: int = 17, source: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as drawn: a partition per output shard, shuffled inside."""
-    plan = mix(docs, scratch, key=key, seed=seed, **options).select(F.col(key).alias("m_key"), F.explode("m_shards").alias("m_shard"))
-    plan = scratch.write(plan.groupBy("m_key", "m_shard").agg(F.count("*").alias("m_times")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("r_key"))
-    same = rows.groupBy(F.col("r_key").alias("same_key")).agg(F.count("*").alias("n"))
-    plan = plan.join(same, F.col("m_key").eqNullSafe(F.col("same_key"))).select("m_key", "m_shard", (F.col("m_times") / F.col("n")).cast("int").alias("m_times"))
-    out = rows.join(plan, F.col("r_key").eqNullSafe(F.col("m_key"))).withColumn("m_turn", F.explode(F.sequence(F.lit(1), "m_times")))
+    # rows of one key and source are drawn alike, those of one key in several sources are not
+    plan = mix(docs, scratch, key=key, seed=seed, source=source, **options).select(F.col(key).alias("m_key"), F.col(source).alias("m_source"), "m_shards")
+    plan = scratch.write(plan.where(F.size("m_shards") > 0).dropDuplicates(["m_key", "m_source"]))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("r_key"), F.col(source).alias("r_source"))
+    out = rows.join(plan, F.col("r_key").eqNullSafe(F.col("m_key")) & F.col("r_source").eqNullSafe(F.col("m_source")))
+    out = out.select("row", "r_key", "m_shards", F.posexplode("m_shards").alias("m_at", "m_shard"))
+    out = out.withColumn("m_turn", F.expr("size(filter(slice(m_shards, 1, m_at + 1), x -> x = m_shard))"))
     order = F.xxhash64(F.lit(seed + 2), "r_key", "m_turn", "m_shard")
-    n_shards = 1 + (plan.agg(F.max("m_shard")).first()[0] or 0)
+    n_shards = 1 + (plan.agg(F.max(F.array_max("m_shards"))).first()[0] or 0)
     return out.withColumn("m_order", order).repartitionById(n_shards, F.col("m_shard").cast("int")).sortWithinPartitions("m_order").select("row.*")
 
 

@@ -104,3 +104,13 @@ def test_mixed_documents(spark):
     assert out.columns == docs.columns
     got = Counter(r.doc_id for r in out.collect() if (r.text or "").split())
     assert got == Counter({k: c for k, c in copies.items() if c})
+
+
+def test_rows_of_one_key_in_several_sources(spark):
+    """Null and shared keys: each row comes as often as it was drawn in its own source."""
+    rows = [(None if i % 3 else i % 7, f"{s}{i} " + "w " * n, s) for s, n, m in (("a", 4, 20), ("b", 9, 40), ("c", 30, 60)) for i in range(m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = {(r.doc_id, r.source): r.m_copies for r in mixing.mix(docs, Scratch(spark), shard_words=500).collect()}
+    out = mixing.mixed_documents(docs, Scratch(spark), shard_words=500).collect()
+    assert len({copies[None, s] for s in "abc"}) > 1 and max(copies.values()) == 2
+    assert Counter(r.text for r in out) == Counter({t: copies[k, s] for k, t, s in rows if copies[k, s]})
