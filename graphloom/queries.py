@@ -33,7 +33,7 @@ SELECTS: dict[str, tuple[str, str]] = {
         "SELECT c_name AS p, o_orderkey AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 7",
     ),
     "bgp_repeated_variable": (
-        "SELECT ?l WHERE { ?l c:l_returnflag ?x ; c:l_linestatus ?x . } ORDER BY ?l LIMIT 0",
+        "SELECT ?l WHERE { ?l c:l_returnflag ?x ; c:l_linestatus ?x . } ORDER BY ?l",
         "SELECT l_returnflag AS l FROM lineitem WHERE l_returnflag = l_linestatus AND false",
     ),
     "bgp_var_predicate": (

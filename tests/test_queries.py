@@ -87,3 +87,13 @@ def test_conversation_closure_covers_every_conversation(spark, duck):
             to += 1
     got = [(r.x, r.y) for r in EVERY["path_conversation_closure"](spark, big).collect()]
     assert max(conv for conv, _ in have) >= 40 and len(got) == len(want) and set(got) == want
+
+
+def test_a_repeated_variable_joins_its_columns(spark, duck, tmp_path):
+    """The registered query over lines whose two columns share values."""
+    for t in TABLES:
+        if t != "lineitem":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN l_quantity > 25 THEN l_returnflag ELSE l_linestatus END AS l_linestatus) FROM lineitem) TO '{tmp_path}/lineitem.parquet'")
+    n = duck.execute(f"SELECT count(*) FROM '{tmp_path}/lineitem.parquet' WHERE l_returnflag = l_linestatus").fetchone()[0]
+    assert n > 0 and EVERY["bgp_repeated_variable"](spark, str(tmp_path)).count() == n
