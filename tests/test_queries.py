@@ -97,3 +97,25 @@ def test_a_repeated_variable_joins_its_columns(spark, duck, tmp_path):
     duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN l_quantity > 25 THEN l_returnflag ELSE l_linestatus END AS l_linestatus) FROM lineitem) TO '{tmp_path}/lineitem.parquet'")
     n = duck.execute(f"SELECT count(*) FROM '{tmp_path}/lineitem.parquet' WHERE l_returnflag = l_linestatus").fetchone()[0]
     assert n > 0 and EVERY["bgp_repeated_variable"](spark, str(tmp_path)).count() == n
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "call", "tables"),
+    [(n, "reasoning", "inferred", ("nation", "supplier")) for n in ("rdfs_types", "rdfs_subproperty", "owl_transitive", "owl_inverse")]
+    + [("owl_inconsistent", "reasoning", "expand_and_check", ("supplier",)), ("rules_recursive", "rules", "evaluate", ("nation", "supplier")), ("rules_stratified_not", "rules", "evaluate", ("customer", "orders"))],
+)
+def test_reasoning_and_rules_get_all_triples(spark, monkeypatch, name, module, call, tables):
+    def stop(*given):
+        raise Seen(given)
+
+    monkeypatch.setattr(getattr(graph_queries, module), call, stop)
+    with pytest.raises(Seen) as seen:
+        EVERY[name](spark, SF)
+    given = seen.value.args[0]
+    got = given[1].triples("") if module == "rules" else given[0]
+    want = graph_queries.mapped(spark, SF, *tables).triples("")
+    assert want.select("s", "p", "o").exceptAll(got.select("s", "p", "o")).isEmpty()
