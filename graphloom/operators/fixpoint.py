@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The least set that holds seed and step(new rows, all rows); rounds join only the new rows."""
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int | None = MAX_ROUNDS) -> DataFrame:
+    """The least set that holds seed and step(new rows, all rows); rounds join only the new rows. None: no limit of rounds."""
     total = delta = written(seed.distinct())
     parts = [total]
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         found = step(delta, total).distinct().join(total, total.columns, "left_anti").select(*total.columns)
         delta = written(found)
         if delta.isEmpty():
@@ -70,7 +71,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         return first.join(then, meets).withColumn("o", F.col("then_o")).select(*edges.columns)
 
     if seeds is not None:
-        return fixpoint(edges.join(seeds.distinct(), ["s"], "left_semi").select(*edges.columns), lambda new, _: compose(new, edges))
+        return fixpoint(edges.join(seeds.distinct(), ["s"], "left_semi").select(*edges.columns), lambda new, _: compose(new, edges), None)  # ends on finite edges
     return fixpoint(edges, lambda new, total: compose(new, total).union(compose(total, new)))
 
 

@@ -60,7 +60,7 @@ def list_members(t: DataFrame, heads: DataFrame) -> DataFrame:
         been = total.select("head", "at").distinct()
         return nxt.join(been, ["head", "at"], "left_anti")
 
-    walked = fixpoint(start, step)
+    walked = fixpoint(start, step, None)  # a cell is met once
     items = walked.join(cells, walked["at"] == cells["cell"]).select("head", "i", "item")
     size = items.groupBy("head").agg(F.max("i").alias("last"))
     return items.join(size, "head")

@@ -133,3 +133,14 @@ def test_terms_from_text():
         assert ntriples.parse_term(t.n3) == t
     with pytest.raises(SparqlError):
         ntriples.parse_term("nonsense")
+
+
+def test_a_seeded_walk_has_no_limit_of_rounds(spark, monkeypatch):
+    """A chain of 50 steps under a limit of 20 rounds, which stands for 1000."""
+    from graphloom.operators import fixpoint as fp
+
+    run = fp.fixpoint
+    monkeypatch.setattr(fp, "fixpoint", lambda seed, step, max_rounds=20: run(seed, step, max_rounds))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "s long, o long")
+    got = fp.closure(edges, spark.createDataFrame([(0,)], "s long")).collect()
+    assert sorted((r.s, r.o) for r in got) == [(0, i) for i in range(1, 51)]
