@@ -1,6 +1,7 @@
 """Scratch tables, connected components and small helpers shared by the operators."""
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -14,9 +15,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder for checkpoints. Where none is set a temporary one serves a local master (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,6 +1,7 @@
 """The pipeline against brute force on a small corpus, and the registered queries' SQL."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -34,16 +35,24 @@ def corpus():
     return rows
 
 
-def without_repeats(texts, length=400):
-    data = {k: t.encode() for k, t in texts.items()}
-    seen = Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
+def without_repeats(texts, length=50):
+    """Texts without the words of 50-word strings that start twice, white space kept."""
+    data = {k: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for k, t in texts.items()}
+    words = {k: [texts[k][a:b] for a, b in spans] for k, spans in data.items()}
+    seen = Counter(tuple(w[i : i + length]) for w in words.values() for i in range(len(w) - length + 1))
     out = {}
-    for k, b in data.items():
-        gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        out[k] = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    for k, w in words.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        at, left = 0, ""
+        for i, (a, b) in enumerate(data[k]):
+            if gone[i] and (i == 0 or not gone[i - 1]):
+                left += texts[k][at:a]
+            if gone[i]:
+                at = b
+        out[k] = left + texts[k][at:]
     return out
 
 
