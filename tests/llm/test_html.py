@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from graphloom.llm.html import extract, main_text
@@ -77,3 +79,18 @@ def test_lists_of_links_inside_the_article_are_left_out(inner):
 def test_paths_below_the_threshold_are_left_out_without_article_or_main():
     table = "<table><tr><td>c1<td>c2</table>"
     assert main_text(f"<body><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>{LONG}<dl><dt>a</dt></dl><ol><li>b</li></ol>{table}</body>") == HELD + " a"  # the path beside the text is lifted by the smoothing
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-results-discussion", "share-price", "social-history", "form-of-government", "header-text-x", "response-time", "promontory", "replying", "cookie-recipes", "reply-brief"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_article_text_under_an_innocent_name_stays(name, inner):
+    own = f'<div class="{name}"><p>Prior studies, many, say so.</p></div>'
+    assert main_text(f"<body><{inner}>{LONG}{own}</{inner}></body>") == HELD + " Prior studies, many, say so."
+
+
+@pytest.mark.parametrize("piece", ["<div>some text. ", "<b><div>x", "<p>a<span>", '<div class="comments">y ', "<article><p>t, t.", "<li><a>x</a>", "<table><tr><td>c"])
+def test_time_is_linear_in_depth(piece):
+    began = time.process_time()
+    assert main_text(piece * 50_000) or "comments" in piece
+    assert main_text("<div>" * 50_000 + piece + "</section></b></i>" * 50_000 + "</div>" * 50_000)
+    assert time.process_time() - began < 40
