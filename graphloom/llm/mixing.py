@@ -6,7 +6,7 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,8 +85,8 @@ def mix(
     """(row columns of docs' key and source), m_size, m_source_size, m_target, m_copies and m_shards for every row.
 
     Sizes are words; sources in code-point order (null last) weigh as in weights, repeating. A source with target t and
-    size s gives every document floor(t / s) times and fills the rest with permuted blocks, the last one cut between
-    documents where the words come nearest. m_shards has an output shard for each copy. The driver holds one row a
+    size s gives every document floor(t / s) times and fills the rest with permuted blocks, the last one document by
+    document, without those that are too long for what is left. m_shards has an output shard for each copy. The driver holds one row a
     source and FAN rows a source for each refinement step; documents are never grouped by source. Null texts and empty
     ones have size 0 and no copy beyond those of whole turns; repeated rows are drawn alike; extra columns are ignored.
     Deterministic for a seed.
@@ -136,9 +136,15 @@ def mix(
     cut = spark.createDataFrame([(i, low[i], left[i], [b for t in range(turns[i] + 1) for b in _permutation(blocks[i], seed, i, t)]) for i in range(n)], "j int, cut long, words2 long, perms array<long>")
     cut = F.broadcast(cut) if n <= 100_000 else cut
     rows = rows.join(cut, rows.i == cut.j).drop("j")
-    edge = rows.where("rank = cut").groupBy("i", "k").agg(F.sum("size").alias("w"), F.first("words2").alias("words2"))
-    seen = F.sum("w").over(Window.partitionBy("i").orderBy(F.xxhash64(F.lit(seed + 1), "k"), "k"))
-    edge = edge.withColumn("before2", 2 * (seen - F.col("w"))).where("before2 + w <= words2 and w > 0").select(F.col("i").alias("ei"), F.col("k").alias("ek"))
+    edge = rows.where("rank = cut and size > 0").groupBy("i", "k").agg(F.sum("size").alias("w"), F.first("words2").alias("words2"))
+    # one that is too long for what is left is passed over; about block_docs keys of each source come together here
+    edge = edge.groupBy("i").agg(F.first("words2").alias("words2"), F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "k").alias("o"), "k", "w"))).alias("keys"))
+    fits = F.aggregate(
+        "keys", F.struct(F.col("words2").alias("left"), F.filter("keys", lambda _: F.lit(False)).alias("got")),
+        lambda a, e: F.when(e["w"] <= a["left"], F.struct((a["left"] - 2 * e["w"]).alias("left"), F.concat(a["got"], F.array(e)).alias("got"))).otherwise(a),
+        lambda a: a["got"],
+    )
+    edge = edge.select(F.col("i").alias("ei"), F.explode(fits).alias("e")).select("ei", F.col("e.k").alias("ek"))
     edge = F.broadcast(edge) if n <= 1000 and block_docs <= 4096 else edge  # at most a block of each source
     rows = rows.join(edge, (rows.i == edge.ei) & rows.k.eqNullSafe(edge.ek), "left")
     rows = rows.withColumn("copies", F.col("turns") + F.when((F.col("rank") < F.col("cut")) | F.col("ei").isNotNull(), 1).otherwise(0))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", key: s
     A row is a line of the packed id matrix. Documents get end_id; one longer than seq_len is split without loss into
     whole windows and a rest. Rests of about block_tokens ids are packed together, best fit first by falling length, a
     block a time within a partition: bounded memory, one pass, no shuffle, the same ids when a task runs again.
-    Null and empty texts are their end id alone; repeated rows are packed again; an empty table gives no row.
+    Null and empty texts are their end id alone; repeated rows are packed again; null keys stay null in doc_ids; other
+    columns are ignored, whatever their names; an empty table gives no row.
     """
 
     def run(batches):
@@ -114,6 +116,50 @@ def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", key: s
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(tidy(run), SCHEMA)
 
 
+def write_binary(sequences: DataFrame, folder: str, seq_len: int = 2048) -> list:
+    """Write packed sequences as binary files to a folder that executors reach by its URI; a Row per file.
+
+    NAME.ids.bin is the id matrix (seq_len little-endian unsigned 32-bit ids a line), NAME.cu_seqlens.bin the cumulative
+    lengths of each line in turn (every line's begin with 0), NAME.position_starts.bin the places where positions restart.
+    A task writes under names of its attempt, so that lost and repeated tasks do no harm; the driver renames the files of
+    the attempts that count and deletes the rest. The folder must not exist yet. Rows: name, sequences, segments.
+    """
+    spark = sequences.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        raise FileExistsError(f"{folder} exists")
+    fs.mkdirs(path)
+    kinds = ("ids", "cu_seqlens", "position_starts")
+
+    def run(batches):
+        task = TaskContext.get()
+        name, out, counts = f"part-{task.partitionId():05d}", None, [0, 0]
+        store, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            if out is None and batch.num_rows:
+                out = [store.open_output_stream(f"{root}/_{name}-{task.taskAttemptId()}.{k}.bin") for k in kinds]
+            for ids, ends, resets in zip(*(batch.column(k).to_pylist() for k in kinds), strict=True):
+                if len(ids) != 4 * seq_len:
+                    raise ValueError(f"a line has {len(ids) // 4} ids, not {seq_len}")
+                for stream, data in zip(out, (ids, np.asarray(ends, "<u4").tobytes(), np.asarray(resets, "<u4").tobytes()), strict=True):
+                    stream.write(data)
+                counts = [counts[0] + 1, counts[1] + len(resets)]
+        if out:
+            for stream in out:
+                stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, f"_{name}-{task.taskAttemptId()}", *counts)], names=["name", "written", "sequences", "segments"])
+
+    files = sequences.select(*kinds).mapInArrow(tidy(run), "name string, written string, sequences long, segments long").collect()  # a row a task
+    for f in files:
+        for k in kinds:
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{f.written}.{k}.bin"), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{f.name}.{k}.bin"))
+    for left in fs.listStatus(path):
+        if left.getPath().getName().startswith("_"):
+            fs.delete(left.getPath(), False)
+    return files
+
+
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     s = packed_sequences(docs, tokenizer)
     return s.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_starts", "doc_ids", "doc_starts")

@@ -19,17 +19,17 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
 ENCODER, LIBRARY = Encoder(PATH), Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(alphabet=" \n\t\r\x0b\x1c\u3000 aZ9'é.,!日#s", max_size=60), st.text(max_size=60)))
 @example("<|endoftext|> a")
+@example("a <|endoftext|> b\n<|endoftext|><|endoftext|>")
+@example("<|endoftext|")
 @example(" " * 50000 + "x")
 @example("a" * 50000)
 def test_ids_are_those_of_the_tokenizers_library(s):
@@ -82,6 +82,67 @@ def test_packer_loses_nothing(lengths, most_open):
     assert sum(1 for n in fill.values() if n < 32) <= 5
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_each_piece_goes_where_the_squares_become_least(lengths):
+    size = 32
+    p = packing.Packer(size)
+    levels = [0] * (size + 1)  # open windows by fill, kept by brute force
+    for i, n in enumerate(x for length in lengths for x in [*[size] * (length // size), length % size] if x):
+        before = sum(v * v for v in levels)
+        options = []
+        for f in [f for f in range(size, 0, -1) if levels[f] and f + n <= size] + [0]:
+            after = levels.copy()
+            if f:
+                after[f] -= 1
+            if f + n < size:
+                after[f + n] += 1
+            options.append((sum(v * v for v in after) - before, -f, after))
+        levels = min(options)[2]
+        p.add(i, np.zeros(n, "<u4").tobytes())
+        assert p.levels.tolist() == levels
+
+
+def test_packers_take_repeated_rows_and_null_keys(spark, plain):
+    rows = [(None, "a b c"), (None, "a b c"), (7, "x y"), (7, "x y"), (8, "only <|endoftext|> here"), (None, None)]
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, offset int, sequence_id int").repartition(2)
+    want = sorted([(k, tuple(plain(t or "") + [1])) for k, t in rows], key=repr)
+    got = packing.pack(docs, PATH, seq_len=64).collect()
+    pieces = sorted([(r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got if r.length == r.doc_tokens], key=repr)
+    assert sum(r.length for r in got) == sum(len(x) for _, x in want) and set(pieces) <= set(want)
+    segments = [(d, tuple(np.frombuffer(r.ids, "<u4")[a:b].tolist())) for r in token_output.packed_sequences(docs, PATH, seq_len=64).collect() for d, a, b in zip(r.doc_ids, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True)]
+    assert sorted(segments, key=repr) == want
+
+
+def test_binary_files(spark, plain, tmp_path):
+    texts = {i: f"word {i} " * (10 * i) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    packed = token_output.packed_sequences(docs, PATH, seq_len=64)
+    files = token_output.write_binary(packed, f"file://{tmp_path}/out", seq_len=64)
+    lines, segments = {}, []
+    for f in files:
+        ids = np.fromfile(tmp_path / "out" / f"{f.name}.ids.bin", "<u4").reshape(-1, 64)
+        ends = np.fromfile(tmp_path / "out" / f"{f.name}.cu_seqlens.bin", "<u4")
+        resets = np.fromfile(tmp_path / "out" / f"{f.name}.position_starts.bin", "<u4")
+        assert len(ids) == f.sequences and len(ends) == f.segments + f.sequences and len(resets) == f.segments
+        for line in ids:
+            lines[line.tobytes()] = lines.get(line.tobytes(), 0) + 1
+        at = 0
+        for line in ids:
+            cut = [0]
+            while at + len(cut) < len(ends) and ends[at + len(cut)]:
+                cut.append(int(ends[at + len(cut)]))
+            segments += [tuple(line[a:b].tolist()) for a, b in zip(cut, cut[1:])]
+            at += len(cut)
+    want = {}
+    for r in packed.collect():
+        want[bytes(r.ids)] = want.get(bytes(r.ids), 0) + 1
+    assert lines == want
+    assert sum(map(len, segments)) == sum(len(plain(t)) + 1 for t in texts.values())
+    with pytest.raises(Exception, match="exists"):
+        token_output.write_binary(packed, f"file://{tmp_path}/out", seq_len=64)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_best_fit_decreasing_against_brute_force(lengths):
