@@ -1,9 +1,11 @@
 """Stupid-backoff language-model scores of documents, from counts over the whole corpus.
 
-The relations are n-grams in blocks: a chunk is a run of documents with about `chunk_words` words, a row holds the
-distinct n-grams of a chunk that fall into one hash bucket. Bucket by bucket the rows of all chunks are summed into the
-n-gram count table and joined back to the rows they came from; a chunk's answers meet its documents again, whose
-scores are summed there. A frequent n-gram is one entry a chunk, so no bucket is hot.
+scores_by_rows() is the plain relational plan: n-gram count tables partitioned by hash, joined to exploded n-grams,
+summed per document. backoff_scores() is the same plan over blocks, which shuffles a fraction of its bytes: a chunk is a
+run of documents with about `chunk_words` words, a row holds the distinct n-grams of a chunk that fall into one hash
+bucket. Bucket by bucket the rows of all chunks are summed into the n-gram count table and joined back to the rows they
+came from; a chunk's answers meet its documents again, whose scores are summed there. A frequent n-gram is one entry a
+chunk, so no bucket is hot; a chunk has at most a row for each of its n-grams, so rows grow with the corpus only.
 """
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .minhash import Shingler, _mixed
+from .rules import words
 from .worker import tidy
 
 _U = np.uint64
@@ -81,11 +84,11 @@ class Chunk:
 
     def answered(self, answers: list[dict], level: int, buckets: int, least: int) -> None:
         """Take the counts of a level and find the n-grams of the next one."""
-        by = {a["bucket"]: _of_planes(a["counts"], "<u4") for a in answers}
-        where = bucket_of(self.hashes[level], buckets)
+        order, where = by_bucket(self.hashes[level], buckets)
         counts = np.zeros(len(where), np.int64)
-        for b, c in by.items():
-            counts[where == b] = c
+        for a in answers:
+            b = a["bucket"]
+            counts[order[np.searchsorted(where, b) : np.searchsorted(where, b, side="right")]] = _of_planes(a["counts"], "<i8")
         self.counts.append(counts)
         if level + 1 < self.order:
             self.extend(level + 1, least)
@@ -111,14 +114,11 @@ class Chunk:
     def requests(self, level: int, buckets: int):
         """(bucket, hashes, counts in the chunk) of a level's n-grams."""
         grams, token = self.hashes[level], self.tokens[level]
-        here = np.bincount(token[token >= 0], minlength=len(grams)).astype("<u4")
-        where = bucket_of(grams, buckets)
-        order = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if cut[b] < cut[b + 1]:
-                s = order[cut[b] : cut[b + 1]]
-                yield b, _planes(grams[s]), _planes(here[s])
+        here = np.bincount(token[token >= 0], minlength=len(grams)).astype("<i8")
+        order, where = by_bucket(grams, buckets)
+        for part in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1) if len(where) else ():
+            s = order[part]
+            yield int(where[part[0]]), _planes(grams[s]), _planes(here[s])
 
     def scores(self, total: int, least: int, penalty: float) -> np.ndarray:
         """Sum over each document's words of the log of the stupid-backoff score."""
@@ -140,8 +140,11 @@ class Chunk:
         return np.array([out[e - k : e].sum() for e, k in zip(ends, self.lengths.tolist(), strict=True)])
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the order of hashes by bucket, the buckets in that order); a bucket is a range of hashes."""
+    bucket = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
 
 
 def backoff_scores(
@@ -165,9 +168,11 @@ def backoff_scores(
     def summed(group: pa.Table) -> pa.Table:
         """A bucket: sum each n-gram over the chunks and give every chunk its counts back in its own order."""
         parts = [_of_planes(x.as_buffer(), "<u8") for x in group.column("grams")]
-        here = np.concatenate([_of_planes(x.as_buffer(), "<u4") for x in group.column("counts")])
+        here = np.concatenate([_of_planes(x.as_buffer(), "<i8") for x in group.column("counts")])
         grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(at, weights=here, minlength=len(grams)).astype("<u4")[at]
+        sums = np.zeros(len(grams), "<i8")
+        np.add.at(sums, at, here)
+        sums = sums[at]
         cuts = np.cumsum([0, *(len(p) for p in parts)])
         blobs = [_planes(sums[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"chunk": group.column("chunk"), "level": group.column("level"), "bucket": group.column("bucket"), "counts": pa.array(blobs, pa.binary())})
@@ -223,6 +228,36 @@ def backoff_scores(
     return out.toDF(key, "n_words", "log_score", "mean_log_score")
 
 
+def scores_by_rows(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", penalty: float = 0.4, least: int = 2) -> DataFrame:
+    """What backoff_scores() gives for order 3, by rows: a row an n-gram, count tables joined to them on their hashes.
+
+    Counts are combined before they are shuffled; a frequent n-gram makes the join's larger side skewed, which adaptive
+    execution splits. Shuffles several times the bytes of backoff_scores() (figures in the README).
+    """
+    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    base = docs.select(F.col(key).cast("long").alias("id"), F.transform(words(low), lambda w: F.xxhash64(w)).alias("hs"))
+    base = scratch.write(base.withColumn("row", F.monotonically_increasing_id()))
+    h = lambda *back: F.xxhash64(F.lit(len(back)), *[F.get("hs", F.col("i") - k) for k in back])
+    ngrams = base.select("row", "hs", F.posexplode("hs").alias("i", "w"))
+    ngrams = ngrams.select("row", "i", h(0).alias("g1"), F.when(F.col("i") > 0, h(1, 0)).alias("g2"), F.when(F.col("i") > 1, h(2, 1, 0)).alias("g3"), F.when(F.col("i") > 0, h(1)).alias("p1"), F.when(F.col("i") > 1, h(2, 1)).alias("p2"))
+    counts = {k: scratch.write(ngrams.where(f"g{k} is not null").groupBy(F.col(f"g{k}").alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= (1 if k == 1 else least))) for k in (1, 2, 3)}
+    scratch.free_shuffles()
+    total = counts[1].agg(F.sum("n")).first()[0] or 0
+    for name, k in (("g3", 3), ("p2", 2), ("g2", 2), ("p1", 1), ("g1", 1)):
+        ngrams = scratch.write(ngrams.join(counts[k].select(F.col("g").alias("of"), F.col("n").alias(f"c_{name}")), F.col(name) == F.col("of"), "left").drop("of", name))
+        scratch.free_shuffles()
+    back = F.log(F.lit(penalty))
+    score = (
+        F.when(F.col("c_g3").isNotNull(), F.log("c_g3") - F.log("c_p2"))
+        .when(F.col("c_g2").isNotNull(), F.log("c_g2") - F.log("c_p1") + F.when(F.col("i") > 1, back).otherwise(0.0))
+        .otherwise(F.log("c_g1") - F.log(F.lit(max(total, 1))) + F.least(F.col("i"), F.lit(2)) * back)
+    )
+    sums = ngrams.groupBy(F.col("row").alias("of")).agg(F.sum(score).alias("s"))
+    n = F.size("hs").cast("long")
+    out = base.join(sums, F.col("row") == F.col("of"), "left")
+    return out.select(F.col("id").alias(key), n.alias("n_words"), F.coalesce("s", F.lit(0.0)).alias("log_score"), (F.col("s") / n).alias("mean_log_score"))
+
+
 def digest(docs: DataFrame, scratch: Scratch) -> DataFrame:
     s = backoff_scores(docs, scratch)
     return s.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))

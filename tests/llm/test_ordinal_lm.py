@@ -88,4 +88,6 @@ def test_scores_match_brute_force(spark):
     for order, chunk, bucket in ((1, 50, 10), (2, 50, 40), (3, 37, 1000), (4, 10**6, 30)):
         got = lm.backoff_scores(docs, Scratch(spark), order=order, chunk_words=chunk, bucket_words=bucket).collect()
         assert sorted([(x[0], x[1], round(x[2], 6) + 0.0, None if x[3] is None else round(x[3], 6)) for x in got], key=repr) == brute(rows, order, 0.4, 2)
-    assert lm.backoff_scores(docs.limit(0), Scratch(spark)).count() == 0
+    rounded = lambda df: sorted([(x[0], x[1], round(x[2], 6) + 0.0, None if x[3] is None else round(x[3], 6)) for x in df.collect()], key=repr)
+    assert rounded(lm.scores_by_rows(docs, Scratch(spark))) == brute(rows, 3, 0.4, 2)
+    assert lm.backoff_scores(docs.limit(0), Scratch(spark)).count() == lm.scores_by_rows(docs.limit(0), Scratch(spark)).count() == 0
