@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -307,14 +308,58 @@ class Compiler:
             return Rel(a.df.join(b.df, [column_name(v) for v in shared]), vars, definite, a.weight + b.weight)
         if sure:
             return Rel(self._compatible(a.df, b, shared, sure), vars, definite)
-        # nothing to hash on in all rows: rows that bind all shared variables meet by equality, the rest by condition
-        full = _all([col(v).isNotNull() for v in shared])
-        bound_a, bound_b = a.df.where(full), replace(b, df=b.df.where(full))
-        out = self._ordered(bound_a.join(bound_b.df, [column_name(v) for v in shared]), vars)
-        out = out.union(self._ordered(self._compatible(a.df.where(~full), b, shared, []), vars))
-        out = out.union(self._ordered(self._compatible(bound_a, replace(b, df=b.df.where(~full)), shared, []), vars))
-        return Rel(out, vars, definite)
+        out = [self._ordered(df, vars) for df in self._meetings(a, b, shared)]
+        return Rel(reduce(DataFrame.union, out), vars, definite)
 
+    def _masks(self, rel: Rel, shared: list[str]) -> list[int]:
+        """Which of the shared variables a row may bind, as bits."""
+        return [m for m in range(1 << len(shared)) if all(m >> i & 1 for i, v in enumerate(shared) if v in rel.definite)]
+
+    def _beside(self, b: Rel, shared: list[str]) -> DataFrame:
+        """The right side with its shared variables renamed, and the bits of those that a row binds."""
+        right = b.df.select(*[col(v).alias(("r" if v in shared else "") + column_name(v)) for v in b.vars])
+        return right.withColumn("rbits", _bits([F.col(f"`r{column_name(v)}`") for v in shared]))
+
+    def _meetings(self, a: Rel, b: Rel, shared: list[str], extra: Column | None = None) -> list[DataFrame]:
+        """The compatible pairs of rows where no variable is sure to be bound on both sides.
+
+        Pairs that bind a variable in common meet by equality on all such variables: each row goes once for each set of
+        variables that the other side may bind. Pairs that bind none in common are all solutions, so they are a product.
+        """
+        left, right = a.df.withColumn("lbits", _bits([col(v) for v in shared])), self._beside(b, shared)
+        masks_a, masks_b = self._masks(a, shared), self._masks(b, shared)
+        r = {v: F.col(f"`r{column_name(v)}`") for v in shared}
+        some = F.lit(True) if extra is None else extra
+        both = F.col("lbits").bitwiseAND(F.col("lother")), F.col("rbits").bitwiseAND(F.col("rother"))
+        here = left.withColumn("lother", F.explode(F.array(*[F.lit(m) for m in masks_b]))).where(both[0] != 0)
+        there = right.withColumn("rother", F.explode(F.array(*[F.lit(m) for m in masks_a]))).where(both[1] != 0)
+        key = lambda bits, i, c: F.when(bits.bitwiseAND(1 << i) != 0, c)
+        cond = [F.col("lbits") == F.col("rother"), F.col("lother") == F.col("rbits"), *[key(both[0], i, col(v)).eqNullSafe(key(both[1], i, r[v])) for i, v in enumerate(shared)]]
+        out = [here.join(there, _all(cond) & some)]
+        for m in masks_a:
+            if any(not m & k for k in masks_b):
+                out.append(left.where(F.col("lbits") == m).join(right.where(F.col("rbits").bitwiseAND(m) == 0), some, "cross" if extra is None else "inner"))
+        return [df.withColumns({column_name(v): F.coalesce(col(v), r[v]) for v in shared}).drop("lbits", "rbits", "lother", "rother", *["r" + column_name(v) for v in shared]) for df in out]
+
+    def _unmet(self, a: Rel, b: Rel, shared: list[str], common: bool, extra: Column | None = None) -> DataFrame:
+        """The rows of the left side without a compatible row on the right (common: one that binds a variable in common)."""
+        left, right = a.df.withColumn("lbits", _bits([col(v) for v in shared])), self._beside(b, shared)
+        masks_a = self._masks(a, shared)
+        for m in self._masks(b, shared):
+            side = right.where(F.col("rbits") == m)
+            bound = [v for i, v in enumerate(shared) if m >> i & 1]
+            sets = sorted({m & k for k in masks_a} - {0})
+            if sets:  # a copy for each set of variables that both sides may bind, the others null
+                copies = side.withColumn("rother", F.explode(F.array(*[F.lit(k) for k in sets])))
+                copies = copies.withColumns({"k" + column_name(v): F.when(F.col("rother").bitwiseAND(1 << i) != 0, F.col(f"`r{column_name(v)}`")) for i, v in enumerate(shared) if v in bound})
+                copies = copies.select(*[F.col(f"`k{column_name(v)}`") for v in bound]).distinct() if extra is None else copies
+                cond = _all([col(v).eqNullSafe(F.col(f"`k{column_name(v)}`")) for v in bound])
+                left = left.join(copies, cond if extra is None else cond & extra, "left_anti")
+            if not common and any(not m & k for k in masks_a):
+                there = F.broadcast(side.limit(1).select(F.lit(True).alias("there"))) if extra is None else side
+                cond = F.col("lbits").bitwiseAND(m) == 0
+                left = left.join(there, cond if extra is None else cond & extra, "left_anti")
+        return left.drop("lbits")
 
     def _ordered(self, df: DataFrame, vars) -> DataFrame:
         return df.select(*[col(v) for v in vars])
@@ -354,9 +399,14 @@ class Compiler:
                     seen[v] = of_rep(right.vars[v], F.coalesce(col(v), F.col(f"`r{column_name(v)}`")))
             scope = Scope(seen, self.base, now=self.now)
             extra = _all([boolean(evaluate(x, scope)) for f in filters for x in _conjuncts(f)])
+        vars = left.vars | right.vars
+        if shared and not sure:
+            none = self._unmet(left, right, shared, False, extra)
+            none = none.select(*[col(v) if v in left.vars else F.lit(None).cast(right.df.schema[column_name(v)].dataType).alias(column_name(v)) for v in vars])
+            return Rel(reduce(DataFrame.union, [none, *(self._ordered(df, vars) for df in self._meetings(left, right, shared, extra))]), vars, left.definite)
         df = self._compatible(left.df, right, shared, sure, "left", extra)
         df = df.drop("unit") if left.vars or right.vars else df
-        return Rel(df, left.vars | right.vars, left.definite)
+        return Rel(df, vars, left.definite)
 
     def _minus(self, a, b) -> Rel:
         return self.minus(self.compile(a), b)
@@ -371,10 +421,7 @@ class Compiler:
         sure = [v for v in shared if v in left.definite and v in right.definite]
         cond = [col(v) == r[v] for v in sure] + [col(v).isNull() | r[v].isNull() | (col(v) == r[v]) for v in shared if v not in sure]
         if not sure:
-            some = F.lit(False)
-            for v in shared:
-                some = some | (col(v).isNotNull() & r[v].isNotNull())
-            cond.append(some)
+            return replace(left, df=self._unmet(left, right, shared, True))
         return replace(left, df=left.df.join(right.df.select(*[col(v).alias("r" + column_name(v)) for v in shared]), _all(cond), "left_anti"))
 
     # basic graph patterns
@@ -775,6 +822,11 @@ def _key(n) -> tuple:
     return ("t", n.n3) if isinstance(n, Term) else n
 
 
+def _bits(cols: list[Column]) -> Column:
+    """A bit for each column that isn't null."""
+    return reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)])
+
+
 def _all(conds) -> Column:
     out = conds[0]
     for c in conds[1:]:
