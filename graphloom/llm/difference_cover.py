@@ -81,8 +81,8 @@ def with_neighbours(df: DataFrame, at: str, columns: dict[str, tuple[int, ...]])
     return near.where(F.col("block") == block).drop("block")
 
 
-def _ranked(df: DataFrame, keys: list[str], rows: int, scratch: Scratch, flag: str | None = None) -> tuple[DataFrame, int]:
-    """(df's column pos with place, row and ahead; number of different keys), a written table.
+def _ranked(df: DataFrame, keys: list[str], rows: int, scratch: Scratch, flag: str | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """(df's column pos with place, row and ahead; number of different keys; the written table behind the first).
 
     place: rows with a smaller key; row: a number of its own in the order of keys; ahead: flagged rows with a smaller
     key, for rows without the flag.
@@ -138,10 +138,11 @@ def _ranked(df: DataFrame, keys: list[str], rows: int, scratch: Scratch, flag: s
     got = table.where("pos >= 0").join(few, F.col("part") == F.col("of"))
     place = F.when(F.col("runs") == 1, F.col("first")).otherwise(F.col("before") + F.col("start"))
     got = got.select("pos", place.alias("place"), (F.col("before") + F.col("nth")).alias("row"), (F.col("flags") + F.col("ahead")).alias("ahead"))
-    return got, different
+    scratch.free_shuffles()
+    return got, different, table
 
 
-def _in_one_task(text: DataFrame, n: int) -> DataFrame:
+def _in_one_task(text: DataFrame) -> DataFrame:
     """(pos, place) of a text of at most ONE_TASK names: the recursion's end."""
 
     def run(batches):
@@ -161,39 +162,48 @@ def _in_one_task(text: DataFrame, n: int) -> DataFrame:
     return text.select("pos", "sym").repartition(1).mapInArrow(tidy(run), "pos long, place long")
 
 
-def _places(text: DataFrame, n: int, covered: int, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(pos, place) of the suffixes of text (pos dense from 0, sym > 0), and the same with row; right to `depth` symbols.
+def _places(text: DataFrame, n: int, covered: int, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((pos, place, row) of the suffixes of text, its written table); pos dense from 0, sym > 0; right to `depth` symbols.
 
-    covered: how many symbols of the first text a symbol stands for.
+    covered: how many symbols of the first text a symbol stands for. Tables go as soon as nothing reads them.
     """
     triples = with_neighbours(text.select("pos", "sym"), "pos", {"sym": (1, 2)})
     triples = scratch.write(triples.select("pos", F.col("sym").alias("a"), F.coalesce("sym+1", F.lit(0)).alias("b"), F.coalesce("sym+2", F.lit(0)).alias("c")))
+    scratch.free_shuffles()
     cover = triples.where("pos % 3 != 0")
     ones, sampled = (n + 1) // 3, (n + 1) // 3 + n // 3
     if n % 3 == 1:  # an empty triple ends the sampled places of remainder 1
         cover = cover.union(scratch.spark.range(1).select(F.lit(n).cast("long").alias("pos"), *[F.lit(0).cast("long").alias(c) for c in "abc"]))
         ones, sampled = ones + 1, sampled + 1
-    names, different = _ranked(cover, ["a", "b", "c"], sampled, scratch)
+    names, different, held = _ranked(cover, ["a", "b", "c"], sampled, scratch)
     if different < sampled and 3 * covered < depth:
         number = F.floor(F.col("pos") / 3) + F.when(F.col("pos") % 3 == 2, ones).otherwise(0)
         shorter = scratch.write(names.select(number.alias("pos"), (F.col("place") + 1).alias("sym")))
-        got = scratch.write(_in_one_task(shorter, sampled)) if sampled <= ONE_TASK else _places(shorter, sampled, 3 * covered, depth, scratch)[0]
+        scratch.drop(held)
+        if sampled <= ONE_TASK:
+            got = held = scratch.write(_in_one_task(shorter))
+        else:
+            got, held = _places(shorter, sampled, 3 * covered, depth, scratch)
+        scratch.drop(shorter)
         back = F.when(F.col("pos") < ones, 3 * F.col("pos") + 1).otherwise(3 * (F.col("pos") - ones) + 2)
         names = got.select(back.alias("pos"), "place")
     ranks = names.select(F.col("pos").alias("at"), (F.col("place") + 1).alias("r"))
     known = triples.join(ranks, F.col("pos") == F.col("at"), "left").select("pos", "a", "b", "r")
     known = with_neighbours(known, "pos", {"r": (1, 2)})
     # behind the end there is only the empty suffix; the sampled place n, where it was added, has the least rank as well
-    known = known.select("pos", "a", "b", "r", F.coalesce("r+1", F.lit(0)).alias("r1"), F.coalesce("r+2", F.lit(0)).alias("r2"), (F.col("pos") % 3).alias("m"))
-    known = scratch.write(known)
-    first, _ = _ranked(known.where("m != 2").select("pos", "a", "r1", (F.col("m") == 1).cast("long").alias("one")), ["a", "r1"], 2 * n // 3, scratch, "one")
-    second, _ = _ranked(known.where("m != 1").select("pos", "a", "b", "r2", (F.col("m") == 2).cast("long").alias("two")), ["a", "b", "r2"], 2 * n // 3, scratch, "two")
+    known = scratch.write(known.select("pos", "a", "b", "r", F.coalesce("r+1", F.lit(0)).alias("r1"), F.coalesce("r+2", F.lit(0)).alias("r2"), (F.col("pos") % 3).alias("m")))
+    scratch.drop(triples, held)
+    scratch.free_shuffles()
+    first, _, one = _ranked(known.where("m != 2").select("pos", "a", "r1", (F.col("m") == 1).cast("long").alias("one")), ["a", "r1"], 2 * n // 3, scratch, "one")
+    second, _, two = _ranked(known.where("m != 1").select("pos", "a", "b", "r2", (F.col("m") == 2).cast("long").alias("two")), ["a", "b", "r2"], 2 * n // 3, scratch, "two")
     rest = first.where("pos % 3 = 0").select("pos", F.col("ahead").alias("x"), F.col("place").alias("idx")).join(second.where("pos % 3 = 0").select(F.col("pos").alias("at"), F.col("ahead").alias("y")), F.col("pos") == F.col("at"))
     rest = rest.select("pos", (F.col("x") + F.col("y")).alias("below"), F.lit(0).cast("long").alias("kind"), "idx")
     skip = 1 if n % 3 == 1 else 0  # the empty triple is the least of the sampled ones and no suffix
     mine = known.where("m != 0").select("pos", (F.col("r") - 1 - skip).alias("below"), F.lit(1).cast("long").alias("kind"), F.lit(0).cast("long").alias("idx"))
-    merged, _ = _ranked(rest.union(mine), ["below", "kind", "idx"], n, scratch)
-    return merged.select("pos", "place"), merged
+    merged, _, table = _ranked(rest.union(mine), ["below", "kind", "idx"], n, scratch)
+    scratch.drop(known, one, two)
+    scratch.free_shuffles()
+    return merged.select("pos", "place", "row"), table
 
 
 def suffix_order(text: DataFrame, n: int, depth: int, scratch: Scratch) -> DataFrame:
@@ -201,4 +211,4 @@ def suffix_order(text: DataFrame, n: int, depth: int, scratch: Scratch) -> DataF
 
     Suffixes that agree in `depth` symbols stand together, in any order; a depth of n sorts them wholly.
     """
-    return _places(text, n, 1, depth, scratch)[1].select("pos", "row")
+    return _places(text, n, 1, depth, scratch)[0].select("pos", "row")

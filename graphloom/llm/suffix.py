@@ -26,7 +26,7 @@ _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Symbols that a task sorts at once (names of three then fit into 63 bits); larger shards are sorted by the cluster.
-SHARD = 1 << 18
+SHARD = 1 << 20
 #: Symbols of contexts that a sorting task gets on average.
 TASK_SYMBOLS = 2 << 20
 #: Words of the grams whose least hash is the anchor of a string of words.
@@ -325,9 +325,13 @@ def _large_shards(contexts: DataFrame, length: int, unit: str, scratch: Scratch)
     prints = scratch.write(text.mapInArrow(tidy(windows), "at long, f long, g long, k long, id long, th long, start long"))
     # a suffix that is too short for a window differs from its neighbours in a separator, so it may stay between them
     order = scratch.write(order.join(prints, F.col("pos") == F.col("at"), "left").select("row", "f", "g", "k", "id", "th", "start"))
+    scratch.free_shuffles()
     near = with_neighbours(order, "row", {"f": (-1, 1), "g": (-1, 1)})
     hit = near.where("k = 1 and ((f = `f-1` and g = `g-1`) or (f = `f+1` and g = `g+1`))")
-    return scratch.write(hit.select("id", "th", "start", (F.col("start") + length).alias("stop")))
+    hit = scratch.write(hit.select("id", "th", "start", (F.col("start") + length).alias("stop")))
+    scratch.drop(text, prints, order)
+    scratch.free_shuffles()
+    return hit
 
 
 def repeated_spans(named: DataFrame, scratch: Scratch, length: int, gram: int, unit: str = "byte") -> DataFrame:
