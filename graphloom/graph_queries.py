@@ -226,8 +226,8 @@ def _(spark, sf_dir):
     return rules.evaluate(rs, Dataset(spark, ds.triples(""))).where("p = 'urn:v:calm'").select(F.col("s.v").alias("s"))
 
 
-@registered("path_conversation_closure", """WITH RECURSIVE e AS (SELECT a.conv_id, a.turn AS s, b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.conv_id < 40),
-    r AS (SELECT * FROM e UNION SELECT r.conv_id, r.s, e.o FROM r JOIN e ON r.conv_id = e.conv_id AND r.o = e.s) SELECT conv_id::VARCHAR || '-' || s AS x, conv_id::VARCHAR || '-' || o AS y FROM r""")
+@registered("path_conversation_closure", """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)
+    SELECT a.conv_id::VARCHAR || '-' || a.turn AS x, b.conv_id::VARCHAR || '-' || b.turn AS y FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.run = b.run AND a.turn < b.turn""")
 def _(spark, sf_dir):
     """p+ over a derived edge relation: a turn and the next one of its conversation."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")

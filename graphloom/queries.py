@@ -33,8 +33,8 @@ SELECTS: dict[str, tuple[str, str]] = {
         "SELECT c_name AS p, o_orderkey AS k FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 7",
     ),
     "bgp_repeated_variable": (
-        "SELECT ?l WHERE { ?l c:l_returnflag ?x ; c:l_linestatus ?x . } ORDER BY ?l",
-        "SELECT l_returnflag AS l FROM lineitem WHERE l_returnflag = l_linestatus AND false",
+        "SELECT ?d ?x WHERE { ?d c:quality ?x ; c:toxic ?x }",
+        f"SELECT {IRI('labels', 'doc_id')} AS d, quality::BIGINT AS x FROM labels WHERE quality = toxic",
     ),
     "bgp_var_predicate": (
         "SELECT ?s ?p ?v WHERE { ?s a t:region . ?s ?p ?o BIND(STR(?o) AS ?v) }",
@@ -60,8 +60,8 @@ SELECTS: dict[str, tuple[str, str]] = {
     ),
     "filter_ebv": ("SELECT ?r WHERE { ?r c:r_regionkey ?k FILTER(?k) }", f"SELECT {IRI('region', 'r_regionkey')} AS r FROM region WHERE r_regionkey <> 0"),
     "arithmetic": (
-        "SELECT ?k (?q * 2 + 1 AS ?a) (?p / 4 AS ?b) (-?q AS ?n) (?p - ?q AS ?m) WHERE { ?l c:l_quantity ?q ; c:l_linenumber ?k ; c:l_tax ?p FILTER(?q < 3) }",
-        "SELECT l_linenumber::BIGINT AS k, l_quantity * 2 + 1 AS a, l_tax / 4 AS b, -l_quantity AS n, l_tax - l_quantity AS m FROM lineitem WHERE l_quantity < 3",
+        "SELECT ?k (?q * 2 + 1 AS ?a) (?p / 4 AS ?b) (-?q AS ?n) (?p - ?q AS ?m) WHERE { ?l c:l_quantity ?q ; c:l_linenumber ?k ; c:l_tax ?p }",
+        "SELECT l_linenumber::BIGINT AS k, l_quantity * 2 + 1 AS a, l_tax / 4 AS b, -l_quantity AS n, l_tax - l_quantity AS m FROM lineitem",
     ),
     "optional": (
         "SELECT ?c ?o WHERE { ?c c:c_name ?n OPTIONAL { ?o c:o_custkey ?c } }",
@@ -77,8 +77,8 @@ SELECTS: dict[str, tuple[str, str]] = {
             FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000""",
     ),
     "bound_unbound": (
-        "SELECT ?c WHERE { ?c c:c_name ?n OPTIONAL { ?o c:o_custkey ?c } FILTER(!BOUND(?o)) }",
-        f"SELECT {IRI('customer', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "SELECT ?c WHERE { ?c c:c_name ?n OPTIONAL { ?o c:o_custkey ?c ; c:o_orderpriority \"1-URGENT\" } FILTER(!BOUND(?o)) }",
+        f"SELECT {IRI('customer', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     ),
     "union_bag": (
         "SELECT ?n WHERE { { ?x c:c_nationkey ?k . ?k c:n_name ?n } UNION { ?x c:s_nationkey ?k . ?k c:n_name ?n } }",
@@ -178,8 +178,8 @@ SELECTS: dict[str, tuple[str, str]] = {
         f"SELECT {IRI('events', 'event_id')} AS e, year(ts)::BIGINT AS y, month(ts)::BIGINT AS m, day(ts)::BIGINT AS k, hour(ts)::BIGINT AS h, minute(ts)::BIGINT AS i, '' AS z FROM events",
     ),
     "fn_num": (
-        "SELECT ?k (ABS(?q - 25) AS ?a) (CEIL(?x) AS ?b) (FLOOR(?x) AS ?c) (ROUND(?x) AS ?d) WHERE { ?l c:l_linenumber ?k ; c:l_quantity ?q ; c:l_extendedprice ?x FILTER(?q < 4) }",
-        "SELECT l_linenumber::BIGINT AS k, abs(l_quantity - 25) AS a, ceil(l_extendedprice::DECIMAL(18,2))::DOUBLE AS b, floor(l_extendedprice::DECIMAL(18,2))::DOUBLE AS c, round(l_extendedprice::DECIMAL(18,2), 0)::DOUBLE AS d FROM lineitem WHERE l_quantity < 4",
+        "SELECT ?k (ABS(?q - 25) AS ?a) (CEIL(?x) AS ?b) (FLOOR(?x) AS ?c) (ROUND(?x) AS ?d) WHERE { ?l c:l_linenumber ?k ; c:l_quantity ?q ; c:l_extendedprice ?x }",
+        "SELECT l_linenumber::BIGINT AS k, abs(l_quantity - 25) AS a, ceil(l_extendedprice::DECIMAL(18,2))::DOUBLE AS b, floor(l_extendedprice::DECIMAL(18,2))::DOUBLE AS c, round(l_extendedprice::DECIMAL(18,2), 0)::DOUBLE AS d FROM lineitem",
     ),
     "fn_cond": (
         'SELECT ?c (IF(?b > 0, "plus", "minus") AS ?x) (COALESCE(?zz, ?n, "none") AS ?y) (sameTerm(?n, ?n) AS ?z) WHERE { ?c c:c_acctbal ?b ; c:c_name ?n }',

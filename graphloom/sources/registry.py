@@ -72,7 +72,7 @@ def format_of_content(text: str) -> str | None:
     try:
         got = ntriples.parse_line(line)
     except ValueError:
-        return None
+        return "turtle" if re.match(r"(<[^<>\s]*>|_:\S+)\s", line) else None
     return None if got is None else "nquads" if got[3] else "nt"
 
 

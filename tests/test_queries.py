@@ -3,13 +3,13 @@
 import duckdb
 import pytest
 
-from graphloom import graph_queries, queries
+from graphloom import family_queries, graph_queries, queries
 from graphloom.engine import query
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-EVERY = queries.QUERIES | graph_queries.QUERIES
-SQL = queries.ORACLE_SQL | graph_queries.ORACLE_SQL
+EVERY = queries.QUERIES | graph_queries.QUERIES | family_queries.QUERIES
+SQL = queries.ORACLE_SQL | graph_queries.ORACLE_SQL | family_queries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
