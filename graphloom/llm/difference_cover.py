@@ -16,8 +16,8 @@ from .worker import tidy
 
 #: Rows of a task; places of a window block.
 TASK_ROWS, WINDOW = 1 << 19, 1 << 16
-#: A reduced text of so many names or fewer is sorted in one task.
-ONE_TASK = 1 << 20
+#: A reduced text of so many names or fewer is sorted in one task: three names then fit into 63 bits.
+ONE_TASK = (1 << 21) - 16
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

@@ -84,4 +84,24 @@ n AS (SELECT id FROM v), l AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON
 SELECT n.id AS vec_id, (SELECT count(*) FROM l WHERE l.x = n.id)::BIGINT AS n_links, component_id, n.id = component_id AS kept FROM n JOIN c USING (id)
 """
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_html_extraction": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op9_quality_rules": rules.ORACLE_SQL, "op10_lm_scoring": lm.ORACLE_SQL}
+#: Every 400-byte string (in hexadecimal) and every 50-word string with the number of its places.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 400)) AS i FROM d WHERE length(h) >= 800)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM w) WHERE k > 1),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+sp AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS u FROM sp
+      UNION ALL SELECT doc_id, coalesce(z, 0), length(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM sp GROUP BY doc_id) m USING (doc_id)),
+k AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * f + 1, 2 * (u - f)), '' ORDER BY f))) AS kept_sha256 FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM sp GROUP BY doc_id),
+x AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws FROM d),
+xw AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM x WHERE len(ws) >= 50)),
+xs AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM xw) WHERE k > 1),
+xn AS (SELECT doc_id, sum(least(50, coalesce(nxt - i, 50)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM xs) GROUP BY doc_id)
+SELECT doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256, coalesce(xn.n, 0) AS n_passage_words
+FROM d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN xn USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_html_extraction": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_quality_rules": rules.ORACLE_SQL, "op10_lm_scoring": lm.ORACLE_SQL}
