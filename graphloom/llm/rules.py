@@ -15,6 +15,8 @@ BOILERPLATE = (
 #: Separators of navigation lines.
 NAVIGATION = r"[|»›•·]"
 SYMBOLS = r"[#*$%&|<>]"
+#: Marks that end a sentence, and what may stand behind them.
+ENDS, CLOSERS = ".!?…。！？", "\"'”’»)\\]"
 
 
 def _let(value: Column, body) -> Column:
@@ -56,8 +58,9 @@ def repeat_words(ws: Column, width: int) -> Column:
     return _let(ws, of_words)
 
 
-def line_passes(line: Column, max_symbol_share: float, max_bars: int, shout_words: int) -> Column:
-    """Whether a line with words is kept: punctuation, navigation and boilerplate rules."""
+def line_passes(line: Column, max_symbol_share: float, max_bars: int, shout_words: int, open_words: int) -> Column:
+    """Whether a line with words is kept: punctuation (too many symbols, no end of a sentence in a line of open_words words
+    or more, shouting), navigation and boilerplate rules."""
     bare = F.regexp_replace(line, SPACE, "")
     low = F.lower(line)
     symbols = F.length(bare) - F.length(F.regexp_replace(bare, r"[#*$%&<>{}\\^~|]", ""))
@@ -67,6 +70,8 @@ def line_passes(line: Column, max_symbol_share: float, max_bars: int, shout_word
     return ~(
         (symbols > max_symbol_share * F.length(bare))
         | ((bars >= max_bars) & (bars * 4 >= n))
+        | ((n >= open_words) & ~line.rlike(rf"[{ENDS}][{CLOSERS}]*[\x20\x09-\x0D]*\z"))
+        | line.rlike(r"\A[\x20\x09-\x0D]*(?:https?://|www\.)[^\x20\x09-\x0D]+[\x20\x09-\x0D]*\z")
         | ((n >= shout_words) & (bangs * 2 >= n))
         | low.rlike("|".join(BOILERPLATE))
     )
@@ -74,7 +79,7 @@ def line_passes(line: Column, max_symbol_share: float, max_bars: int, shout_word
 
 def quality(
     docs: DataFrame, text: str = "text", min_words: int = 20, max_repeat_percent: int = 30, window: int = 8,
-    max_lost_percent: int = 50, max_symbol_share: float = 0.1, max_bars: int = 3, shout_words: int = 5, detail: bool = True,
+    max_lost_percent: int = 50, max_symbol_share: float = 0.1, max_bars: int = 3, shout_words: int = 5, open_words: int = 4,
 ) -> DataFrame:
     """Every row of docs, with clean_text and the figures behind its verdict.
 
@@ -86,12 +91,12 @@ def quality(
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
     with_words = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    is_kept = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x, max_symbol_share, max_bars, shout_words)
+    is_kept = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x, max_symbol_share, max_bars, shout_words, open_words)
     counted = _let(words(F.col(text)), lambda w: F.struct(
         F.size(w).cast("long").alias("words"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w, window).alias("repeat")))
-    # only a text with one of the marks or phrases that the rules look for can lose a line
+    # only a text with one of the marks or phrases that the rules look for, or an open line, can lose a line
     low = F.lower(t)
-    suspect = t.rlike(r"[#*$%&<>{}\\^~|»›•·!]") | reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
+    suspect = t.rlike(rf"[^{ENDS}\x20\x09-\x0D][\x20\x09\x0B-\x0D]*(?:\n|\z)") | t.rlike(r"[#*$%&<>{}\\^~|»›•·!]") | reduce(lambda a, b: a | b, [low.contains(p) for p in (*BOILERPLATE, "http", "www.")])
     out = docs.withColumn("q_counted", counted).withColumns(
         {
             "q_words": F.col("q_counted.words"),
@@ -125,7 +130,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 #: The same in DuckDB's SQL, for the columns of digest().
-_SYM, _BAR = r"[#*$%&<>{}\\^~|]", NAVIGATION
+_SYM, _BAR, _CLOSERS = r"[#*$%&<>{}\\^~|]", NAVIGATION, CLOSERS.replace("'", "''")
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -141,6 +146,8 @@ lq AS (SELECT doc_id, x, regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') AS b,
 lk AS (SELECT doc_id, n, NOT (
          len(b) - len(regexp_replace(b, '{_SYM}', '', 'g')) > 0.1 * len(b)
          OR (len(b) - len(regexp_replace(b, '{_BAR}', '', 'g')) >= 3 AND (len(b) - len(regexp_replace(b, '{_BAR}', '', 'g'))) * 4 >= n)
+         OR (n >= 4 AND NOT regexp_matches(x, '[{ENDS}][{_CLOSERS}]*[\x20\x09-\x0D]*$'))
+         OR regexp_matches(x, '^[\x20\x09-\x0D]*(https?://|www\.)[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$')
          OR (n >= 5 AND (len(b) - len(regexp_replace(b, '!', '', 'g'))) * 2 >= n)
          OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')) AS ok FROM lq),
 kw AS (SELECT doc_id, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS kept_words FROM lk GROUP BY doc_id),

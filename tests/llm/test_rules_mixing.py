@@ -15,8 +15,9 @@ from graphloom.llm.common import Scratch
 CASES = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one two three four five six seven eight " * 4), (5, "a b c d e f g h a b c d e f g h i a b"),
     (6, "\n".join(["Same line here."] * 4 + ["", "  "] + ["Other é ü."])), (7, "x y z\x1cw " * 12), (8, "Home | About | News | Contact\n" + "This is a plain sentence " + " ".join(f"v{i}" for i in range(30)) + "."),
-    (9, "Accept cookies to go on\n" + " ".join(f"w{i}" for i in range(40))), (10, "### $$$ %%% &&&\n" * 10 + "a few words"), (11, "BUY!! NOW!! OR!! NEVER!! AGAIN!! " * 5),
-    (12, " ".join(f"w{i % 9}" for i in range(500))), (13, " ".join(f"u{i}" for i in range(30000))), (1, None),
+    (9, "Accept cookies to go on.\n" + " ".join(f"w{i}" for i in range(40)) + "?”) "), (10, "### $$$ %%% &&&\n" * 10 + "a few words"), (11, "BUY!! NOW!! OR!! NEVER!! AGAIN!! " * 5),
+    (12, " ".join(f"w{i % 9}" for i in range(500))), (13, " ".join(f"u{i}" for i in range(30000)) + "."), (1, None),
+    (14, " ".join(f"o{i}" for i in range(40))), (15, "Of a heading\nhttps://x.org/a?b=c\n" + " ".join(f"p{i}" for i in range(40)) + ".\r\nThis line is left open\nSo it says:"),
 ]
 
 
@@ -37,7 +38,7 @@ def test_figures(spark):
     got = sorted(tuple(r)[:7] for r in rules.digest(docs).collect())
     assert got == sorted((k, *plain(t)) for k, t in CASES)
     kept = {r.doc_id: r.kept for r in rules.digest(docs).collect()}
-    assert {k for k, v in kept.items() if v} == {8, 9, 13}
+    assert {k for k, v in kept.items() if v} == {8, 9, 13, 15}
     assert rules.digest(docs.limit(0)).count() == 0
 
 
@@ -47,6 +48,7 @@ def test_cleaning_takes_failing_lines_out(spark):
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert "About" not in got[8] and "plain sentence" in got[8] and "cookies" not in got[9] and got[13] == dict(CASES)[13]
+    assert 14 not in got and got[15] == "Of a heading\n" + " ".join(f"p{i}" for i in range(40)) + ".\r\nSo it says:"
 
 
 @settings(max_examples=200, deadline=None)
