@@ -7,7 +7,7 @@ import json
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as R
@@ -18,7 +18,8 @@ from . import results
 
 class ParquetStore:
     """save() writes a whole new version beside the old ones and then moves the pointer, so readers never see half of
-    one. The bucket of a predicate is a partition column: a scan for one predicate opens one bucket."""
+    one. Quads lie there twice: by buckets of predicate and subject, and by buckets of object. The buckets are partition
+    columns, so a scan for a predicate, a subject or an object opens its buckets only, and files are sorted inside."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16, read_only: bool = False):
         self.spark, self.path, self.buckets, self.read_only = spark, path.rstrip("/"), buckets, read_only
@@ -42,9 +43,12 @@ class ParquetStore:
             raise PermissionError("the store is read-only")
         n = self.version() + 1
         quads = ds.quads if ds.quads is not None else self.spark.createDataFrame([], R.QUADS)
-        out = quads.select("g", "s", "p", "o").distinct().withColumn("b", F.pmod(F.xxhash64("p"), F.lit(self.buckets)).cast("int"))
-        # a hot predicate is one bucket but many tasks: the subject's hash spreads it
-        out.repartition("b", F.pmod(F.xxhash64("s"), F.lit(self.buckets))).sortWithinPartitions("b", "p", "s.v", "o.v").write.partitionBy("b").parquet(f"{self.path}/v{n}")
+        rows = quads.select("g", "s", "p", "o").distinct()
+        # a hot predicate or object is one bucket but many tasks: the subject's hash spreads it
+        by = rows.withColumn("b", _bucket(F.col("p"), self.buckets)).withColumn("sb", _bucket(F.col("s.v"), SUBJECTS))
+        by.repartition("b", "sb").sortWithinPartitions("b", "sb", "p", "s.v", "o.v").write.partitionBy("b", "sb").parquet(f"{self.path}/v{n}")
+        by = rows.withColumn("ob", _bucket(F.col("o.v"), self.buckets))
+        by.repartition("ob", _bucket(F.col("s.v"), SUBJECTS)).sortWithinPartitions("ob", "o.v", "s.v").write.partitionBy("ob").parquet(f"{self.path}/v{n}-objects")
         pointer = json.dumps({"version": n, "buckets": self.buckets, "namespaces": ds.namespaces.by, "graphs": sorted(ds.graphs)})
         tmp, fs = self._fs(f"{self.path}/next-{n}")
         stream = fs.create(tmp, True)
@@ -57,22 +61,40 @@ class ParquetStore:
 
     def load(self, version: int | None = None) -> Dataset:
         pointer = self._pointer()
-        df = self.spark.read.schema("g string, s {t}, p string, o {t}, b int".format(t=R.TERM_DDL)).parquet(f"{self.path}/v{version or pointer['version']}")
-        return StoredDataset(self.spark, df, pointer["buckets"], Namespaces(pointer["namespaces"]), pointer["graphs"])
+        at, cells = f"{self.path}/v{version or pointer['version']}", f"g string, s {R.TERM_DDL}, p string, o {R.TERM_DDL}"
+        by_subject = self.spark.read.schema(f"{cells}, b int, sb int").parquet(at)
+        return StoredDataset(self.spark, by_subject, self.spark.read.schema(f"{cells}, ob int").parquet(f"{at}-objects"), pointer["buckets"], Namespaces(pointer["namespaces"]), pointer["graphs"])
+
+
+#: Buckets of subjects inside a bucket of predicates.
+SUBJECTS = 8
+
+
+def _bucket(c: Column, n: int) -> Column:
+    """A bucket by hash; of a literal it folds to a constant that prunes partitions."""
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
 
 class StoredDataset(Dataset):
-    """Scans for a predicate prune to its bucket."""
+    """Scans for a predicate, a subject or an object prune to its buckets."""
 
-    def __init__(self, spark, stored: DataFrame, buckets: int, namespaces, graphs):
-        super().__init__(spark, stored.drop("b"), namespaces=namespaces, graphs=graphs)
-        self.stored, self.buckets = stored, buckets
+    def __init__(self, spark, by_subject: DataFrame, by_object: DataFrame, buckets: int, namespaces, graphs):
+        super().__init__(spark, by_subject.drop("b", "sb"), namespaces=namespaces, graphs=graphs)
+        self.by_subject, self.by_object, self.buckets = by_subject, by_object, buckets
 
     def triples(self, graph="", s=None, p=None, o=None) -> DataFrame:
-        if p is None or self.stored is None:
+        if p is None and s is None and o is None:
             return super().triples(graph, s, p, o)
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(p)), F.lit(self.buckets)).cast("int")).first()[0]
-        narrow = Dataset(self.spark, self.stored.where(F.col("b") == bucket).drop("b"))
+        if p is None and s is None:
+            rows = self.by_object.where(F.col("ob") == _bucket(F.lit(o.v), self.buckets)).drop("ob")
+        else:
+            rows = self.by_subject
+            if p is not None:
+                rows = rows.where(F.col("b") == _bucket(F.lit(p), self.buckets))
+            if s is not None:
+                rows = rows.where(F.col("sb") == _bucket(F.lit(s.v), SUBJECTS))
+            rows = rows.drop("b", "sb")
+        narrow = Dataset(self.spark, rows)
         narrow.from_, narrow.from_named = self.from_, self.from_named
         return narrow.triples(graph, s, p, o)
 

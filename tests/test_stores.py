@@ -6,6 +6,7 @@ import urllib.request
 
 import pytest
 
+import workloads
 from graphloom import terms as R
 from graphloom.dataset import Dataset
 from graphloom.engine import query
@@ -105,3 +106,22 @@ def test_streams(spark, tmp_path):
     n = stream.counts(stream.stream_lines(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     n.awaitTermination()
     assert {(r.g, r.p): r.n for r in spark.table("counted").collect()} == {("", "a:p"): 3, ("a:g", "a:q"): 1}
+
+
+def test_lookups_open_their_buckets_only(spark, tmp_path):
+    kept = ParquetStore(spark, str(tmp_path / "pruned"))
+    kept.save(Dataset(spark, workloads.plain_triples(spark, 400, 20)))
+    g = kept.load().graph()
+    value = R.Term(2, "value_7", R.STRING)
+    for name, df in (("sb", g.triples(s=R.Term(1, "http://example.org/s7"))), ("b", g.triples(p="http://example.org/p7")), ("ob", g.triples(o=value))):
+        assert df.count() == (20 if name == "b" else 1)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"isnotnull({name}#" in plan and "PartitionFilters: [" in plan and "Exchange" not in plan
+
+
+def test_film_workload(spark):
+    ds = Dataset(spark, workloads.films(spark, 1500).cache())
+    got = {name: query(ds, workloads.PREFIXES + text) for name, text in workloads.FILM_QUERIES.items()}
+    assert got["top_ten"].count() == 10 and got["per_genre"].count() == 20 and got["optional_rating"].count() == 100
+    assert {r.title["v"] for r in got["by_director"].collect()} == {r.title["v"] for r in query(ds, workloads.PREFIXES + "SELECT ?title { ?f ff:directed_by ?d ; rdfs:label ?title . ?d rdfs:label 'Director 0'@en }").collect()}
+    assert got["construct"].count() == 100 and 2 <= got["actors_in_film"].count() <= 5
