@@ -1,5 +1,7 @@
 """Scratch tables, connected components and small helpers shared by the operators."""
 
+import atexit
+import contextlib
 import gc
 import re
 import tempfile
@@ -25,12 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _leave() -> None:
+    """Results read scratch tables as long as the application runs; then they go."""
+    for spark, root in _roots:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, root)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that later steps survive lost executors and don't recompute."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
         rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if spark.conf.get(rows) == "10000":  # Spark's default makes batches of tens of megabytes from texts
             spark.conf.set(rows, "1000")
@@ -54,8 +73,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._scratch_path)
 
     def free_shuffles(self) -> None:
         """Let the context cleaner delete shuffle files of plans that are no longer referenced."""

@@ -144,18 +144,26 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) inside large buckets, as a spanning forest of each pair of blocks; rows: key, m, id, c.
 
-    A bucket is cut into blocks of about `block` members and every two blocks meet in a task of their own, where the
-    sizes of all intersections come from one matrix product over the shingles on both sides. No pair leaves the task
-    but those that join two components.
+    Members of a bucket's largest component need to meet only those outside it, and these meet each other. Both parts
+    are cut into blocks of about `block` members and two blocks meet in a task of their own, where the sizes of all
+    intersections come from one matrix product over the shingles on both sides. So a large group with a few strangers
+    is dealt out once, not to every block. No pair leaves the task but those that join two components.
     """
+    main = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("of")).agg(F.max(F.struct("n", "c")).alias("top"))
+    rows = rows.join(main, F.col("key") == F.col("of")).select("key", (F.col("m") - F.col("top.n")).alias("rest"), F.col("top.n").alias("main"), (F.col("c") == F.col("top.c")).alias("in_main"), "id", "c")
 
     def deal(batches):
         for batch in batches:
             out: list[tuple] = []
-            for key, m, i, c, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                blocks = -(-m // block)
-                own = i * 0x9E3779B1 % 4294967291 % blocks
-                out += [(key, min(own, j), max(own, j), own, i, c, x) for j in range(blocks)]
+            for key, rest, main, in_main, i, c, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                few, many, place = -(-rest // block), -(-main // block), i * 0x9E3779B1 % 4294967291
+                if in_main:  # its blocks have numbers below 0
+                    own = -1 - place % many
+                    out += [(key, own, j, own, i, c, x) for j in range(few)]
+                else:
+                    own = place % few
+                    out += [(key, -1 - j, own, own, i, c, x) for j in range(many)]
+                    out += [(key, min(own, j), max(own, j), own, i, c, x) for j in range(few)]
                 if len(out) >= 512:
                     yield _rows(out)
                     out = []
@@ -214,7 +222,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int) ->
     def _pairs(found):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    held = rows.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("key", "m", "id", "c", "shingles")
+    held = rows.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("key", "rest", "main", "in_main", "id", "c", "shingles")
     dealt = held.mapInArrow(tidy(deal), "key long, p int, q int, own int, id long, c long, x binary")
     return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(tidy(run), "a long, b long")
 
