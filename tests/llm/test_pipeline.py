@@ -84,6 +84,29 @@ def test_against_brute_force(spark, tmp_path):
     assert set(pieces) <= set(want)
 
 
+CLASHING = ["row", "k", "id", "th", "marks", "q_text", "m_key", "m_shards", "gone", "left", "offset", "sequence_id", "r_key"]
+
+
+def test_empty_tables_repeated_rows_null_keys_and_clashing_columns(spark, tmp_path):
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice("alpha beta gamma delta lorem ipsum dolor sit amet kappa".split()) + str(r.randrange(900)) for _ in range(n)) + "."
+    rows = [(i, prose(60), "en", f"s{i % 2}") for i in range(12)] + [(None, prose(70), "en", None), (None, prose(80), "en", "s0"), (None, prose(80), None, None), (40, None, "en", "s0"), (41, "", "en", "s1")]
+    rows += [rows[3], rows[3], (None, rows[12][1], "en", None)]  # copies of a keyed row and of one without a key
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    for name, data in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(*x, len(x[1] or ""), *CLASHING) for x in data], schema).repartition(2).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:4]:
+            docs = f(spark, docs, str(folder))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING], stage
+            assert all(all(x[c] == c for c in CLASHING) for x in docs.collect()), stage
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {x.doc_id for x in out} <= {*range(12), None} and bool(out) == bool(data)
+    whole = {x.doc_id for x in out}
+    assert not whole
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()

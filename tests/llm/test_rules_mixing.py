@@ -116,3 +116,33 @@ def test_rows_of_one_key_in_several_sources(spark):
     out = mixing.mixed_documents(docs, Scratch(spark), shard_words=500).collect()
     assert len({copies[None, s] for s in "abc"}) > 1 and max(copies.values()) == 2
     assert Counter(r.text for r in out) == Counter({t: copies[k, s] for k, t, s in rows if copies[k, s]})
+
+
+def test_mixing_takes_null_keys_and_repeated_rows(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, 1, 2, i]), " ".join("w" for _ in range(r.randrange(0, 40))), r.choice(["a", "b", None]), 0, "x") for i in range(120)]
+    rows += [rows[5]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken string").repartition(3)
+    got = mixing.digest(docs, Scratch(spark)).collect()
+    assert sorted([(x.doc_id, x["size"]) for x in got], key=repr) == sorted([(k, len(t.split())) for k, t, *_ in rows], key=repr)
+    assert all(x.taken <= 2 * x["size"] for x in got)
+    again = mixing.digest(docs.repartition(1), Scratch(spark)).collect()
+    assert sorted([(x.doc_id, x["size"], x.taken) for x in got], key=repr) == sorted([(x.doc_id, x["size"], x.taken) for x in again], key=repr)
+    alike = {}
+    for x in mixing.mix(docs, Scratch(spark)).collect():
+        assert alike.setdefault((x.doc_id, x.source), x.m_copies) == x.m_copies
+    out = mixing.mixed_documents(docs, Scratch(spark)).collect()
+    copies = Counter()
+    for k, t, s, *_ in rows:
+        copies[k, t, s] += alike[k, s]
+    assert Counter((x.doc_id, x.text, x.source) for x in out) == +copies
+
+
+def test_the_cut_block_is_filled_past_a_long_document(spark):
+    rows = [(i, "w " * 10, "a") for i in range(60)] + [(99, "w " * 5000, "a")] + [(200 + i, "w " * 10, "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.digest(docs, Scratch(spark)).collect()
+    for s, keys in (("a", range(100)), ("b", range(200, 800))):
+        own = [x for x in got if x.doc_id in keys]
+        short = own[0].target - sum(x.taken for x in own)
+        assert abs(short) <= 10 or s == "a" and 0 <= short <= 5000 and all(x.taken for x in own if x.doc_id != 99)
