@@ -171,7 +171,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, key: str = "doc_id", seed
     plan = mix(docs, scratch, key=key, seed=seed, source=source, **options).select(F.col(key).alias("m_key"), F.col(source).alias("m_source"), "m_shards")
     plan = scratch.write(plan.where(F.size("m_shards") > 0).dropDuplicates(["m_key", "m_source"]))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("r_key"), F.col(source).alias("r_source"))
-    out = rows.join(plan, F.col("r_key").eqNullSafe(F.col("m_key")) & F.col("r_source").eqNullSafe(F.col("m_source")))
+    out = rows.join(plan.hint("merge"), F.col("r_key").eqNullSafe(F.col("m_key")) & F.col("r_source").eqNullSafe(F.col("m_source")))
     out = out.select("row", "r_key", "m_shards", F.posexplode("m_shards").alias("m_at", "m_shard"))
     out = out.withColumn("m_turn", F.expr("size(filter(slice(m_shards, 1, m_at + 1), x -> x = m_shard))"))
     order = F.xxhash64(F.lit(seed + 2), "r_key", "m_turn", "m_shard")

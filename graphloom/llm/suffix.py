@@ -399,7 +399,8 @@ def _marked(docs: DataFrame, scratch: Scratch, text: str, key: str, length: int,
 
 
 def _with(rows: DataFrame, marks: DataFrame, to: str = "marks") -> DataFrame:
-    return rows.join(marks, F.col("id").eqNullSafe(F.col(f"{to}_id")) & (F.col("th") == F.col(f"{to}_th")), "left").drop(f"{to}_id", f"{to}_th")
+    # marks grow with the corpus: the same plan at every size
+    return rows.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col(f"{to}_id")) & (F.col("th") == F.col(f"{to}_th")), "left").drop(f"{to}_id", f"{to}_th")
 
 
 def repeated_bytes(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 160, words: int | None = None) -> DataFrame:

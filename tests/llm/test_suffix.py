@@ -184,4 +184,5 @@ def test_without_repeats_keeps_rows_columns_and_characters(spark):
     got = suffix.without_repeats(docs, Scratch(spark), length=40, gram=16, unit="byte")
     assert got.columns == ["doc_id", "text", "marks", "n_chars"] and got.count() == len(rows)
     kept = {r.doc_id: r.text for r in got.collect()}
-    assert kept[106] is None and kept[100] == "" and kept[107] == dict(rows)[107]
+    assert kept[106] is None and kept[100] == ""
+    assert sorted(r.text for r in got.collect() if r.doc_id == 107) == sorted(t for k, t in rows if k == 107)
